@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-#: A worker's memory of pre-tokens: so many, none longer than so many characters. Others are
+#: A worker's memory of pre-tokens: so many in each of two
+#: generations, none longer than so many characters. Others are
 #: encoded each time; results don't depend on it.
 CACHE_SIZE, CACHE_CHARS = 300_000, 64
 
@@ -92,6 +93,7 @@ class Tokenizer:
             self.bytes_of[i] = token
         self.decimal = [str(i) for i in range(top)]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def from_bytes(vocabulary: bytes, pattern: str) -> Tokenizer:
@@ -99,44 +101,51 @@ class Tokenizer:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token: least rank first, leftmost first among equals."""
-        n, ranks = len(piece), self.ranks
+        n, get = len(piece), self.ranks.get
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapify(heap)
         while heap:
             _, i, end = heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or after[j] != end:
+            j = after[i]  # n for a byte that was merged into an earlier one
+            if j >= n or after[j] != end:
                 continue
-            alive[j], after[i] = False, end
+            after[i], after[j] = end, n
             if end < n:
                 before[end] = i
-                if (r := ranks.get(piece[i : after[end]])) is not None:
-                    heappush(heap, (r, i, after[end]))
-            if (p := before[i]) >= 0 and (r := ranks.get(piece[p:end])) is not None:
+                stop = after[end]
+                if (r := get(piece[i:stop])) is not None:
+                    heappush(heap, (r, i, stop))
+            p = before[i]
+            if p >= 0 and (r := get(piece[p:end])) is not None:
                 heappush(heap, (r, p, end))
-        out, i = [], 0
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            ids.append(ranks[piece[i : after[i]]])
             i = after[i]
-        return tuple(out)
+        return tuple(ids)
 
     def piece(self, token: str) -> tuple[int, ...]:
         found = self.cache.get(token)
         if found is None:
-            raw = token.encode()
-            at = self.whole.slot(raw)
-            found = (self.slot_ids[at],) if at >= 0 else self.merge(raw)
+            found = self.older.get(token)
+            if found is None:
+                raw = token.encode()
+                at = self.whole.slot(raw)
+                found = (self.slot_ids[at],) if at >= 0 else self.merge(raw)
             if len(token) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_SIZE:
-                    self.cache.clear()
+                if len(self.cache) >= CACHE_SIZE:  # what isn't met again in a generation goes
+                    self.cache, self.older = {}, self.cache
                 self.cache[token] = found
         return found
 
     def pieces(self, text: str) -> list[tuple[int, ...]]:
+        return self.pieces_of(self.find(text))
+
+    def pieces_of(self, tokens: list[str]) -> list[tuple[int, ...]]:
         get, piece = self.cache.get, self.piece
-        return [get(t) or piece(t) for t in self.find(text)]
+        return [get(t) or piece(t) for t in tokens]
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.pieces(text)))

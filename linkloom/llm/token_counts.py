@@ -70,8 +70,7 @@ def _leaves(pieces: list[str], counts: list[int]) -> tuple[list[int], list[int]]
 
 def build(t: Tokenizer, text: str) -> Tree:
     pieces = t.find(text)
-    get, slow = t.cache.get, t.piece
-    counts = [len(get(p) or slow(p)) for p in pieces]
+    counts = list(map(len, t.pieces_of(pieces)))
     return Tree(*_leaves(pieces, counts))
 
 
