@@ -72,7 +72,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
     for b in batches:
         rows, size = [], 0
-        for doc, h, s, found in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), texts(b.column("text")), b.column("found").to_pylist()):
+        for doc, h, s, found in zip(b.column("_ld_id").to_pylist(), b.column("_ld_key").to_pylist(), texts(b.column("_ld_text")), b.column("_ld_found").to_pylist()):
             lines = s.encode().split(b"\n")
             own = chunks(lines)
             covered = set()
@@ -162,17 +162,26 @@ def _clean_batches(min_words: int):  # noqa: ANN202
     return run
 
 
-def repeated_ranges(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
+    return docs.withColumnRenamed(text, "_ld_text").withColumns({"_ld_id": F.col(id).cast("long"), "_ld_key": F.xxhash64("_ld_text")})
+
+
+def _same_row(keyed: DataFrame, other: DataFrame, id: str, key: str):  # noqa: ANN202
+    return keyed["_ld_id"].eqNullSafe(other[id]) & (keyed["_ld_key"] == other[key])
+
+
+def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """(doc_id, text_hash, ranges): matched lines [start, stop) of each document that has any."""
-    base = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    base = keyed.select(F.col("_ld_id").alias("doc_id"), F.col("_ld_key").alias("text_hash"), F.col("_ld_text").alias("text"))
     found = cut(base.mapInArrow(_chunk_batches, _FOUND))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"))
     several = found.groupBy("hash_a", "hash_b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     hits = found.join(several, ["hash_a", "hash_b"]).withColumn("keeper", place == F.col("first")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
     # A document's own chunks: no more than its lines.
-    by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_lines", "hash_a", "hash_b", "keeper", "salts")).alias("found"))
-    by_doc = by_doc.toDF("_d", "_h", "found").hint("shuffle_hash")
-    mine = base.join(by_doc, base["doc_id"].eqNullSafe(by_doc["_d"]) & (base["text_hash"] == by_doc["_h"])).select("doc_id", "text_hash", "text", "found")
+    by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_lines", "hash_a", "hash_b", "keeper", "salts")).alias("_ld_found"))
+    by_doc = by_doc.toDF("_ld_d", "_ld_h", "_ld_found").hint("shuffle_hash")
+    # All columns go along, though unused: so the texts are dealt out once for this join and the last.
+    mine = keyed.join(by_doc, _same_row(keyed, by_doc, "_ld_d", "_ld_h"))
     spread = mine.mapInArrow(_text_batches, f"{_FOUND}, salt int, keeper boolean, chunk binary, before binary, after binary")
     dealt = spread.repartition("hash_a", "hash_b", "salt").sortWithinPartitions("hash_a", "hash_b", "salt", F.desc("keeper"))
     matched = dealt.mapInArrow(_match_batches, "doc_id long, text_hash long, start int, stop int")
@@ -187,11 +196,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", min_wor
     text are one place: all stay alike. Within a document later repeats go too. Other columns
     are carried, whatever their names (but for those that begin with _ld_).
     """
-    ranges = cut(repeated_ranges(docs, text, id)).toDF("_ld_id", "_ld_hash", "_ld_ranges")
+    keyed = _keyed(docs, text, id)
+    ranges = repeated_ranges(keyed).toDF("_ld_d", "_ld_h", "_ld_ranges").hint("shuffle_hash")
+    both = keyed.join(ranges, _same_row(keyed, ranges, "_ld_d", "_ld_h"), "left")
     names = docs.columns
-    mine = docs.withColumnRenamed(text, "_ld_text").withColumn("_ld_key", F.xxhash64("_ld_text"))
-    both = mine.join(ranges.hint("shuffle_hash"), mine[id].eqNullSafe(ranges["_ld_id"]) & (mine["_ld_key"] == ranges["_ld_hash"]), "left")
     rest = [c for c in names if c != text]
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    out = both.select(*rest, "_ld_text", "_ld_ranges").mapInArrow(_clean_batches(min_words), f"{shape}, _ld_text string, _ld_lines long, _ld_gone long")
+    shape += ", " * bool(rest) + "_ld_text string, _ld_lines long, _ld_gone long"
+    out = both.select(*rest, "_ld_text", "_ld_ranges").mapInArrow(_clean_batches(min_words), shape)
     return out.select(*(F.col("_ld_text").alias(text) if c == text else c for c in names), "_ld_lines", "_ld_gone")
