@@ -22,7 +22,7 @@ from .common import cut, texts
 
 MIN_WORDS, LONG_LINE = 50, 25
 #: Occurrences of a chunk that one task compares with its first place; more are salted.
-GROUP = 5000
+GROUP = 1000
 _FOUND = "doc_id long, text_hash long, start int, n_lines int, hash_a long, hash_b long"
 
 
@@ -175,7 +175,8 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     base = keyed.select(F.col("_ld_id").alias("doc_id"), F.col("_ld_key").alias("text_hash"), F.col("_ld_text").alias("text"))
     found = cut(base.mapInArrow(_chunk_batches, _FOUND))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"))
-    several = found.groupBy("hash_a", "hash_b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    # Cut, so that the join has an exchange on either side and a hot chunk's partition can be split.
+    several = cut(found.groupBy("hash_a", "hash_b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
     hits = found.join(several, ["hash_a", "hash_b"]).withColumn("keeper", place == F.col("first")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
     # A document's own chunks: no more than its lines.
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_lines", "hash_a", "hash_b", "keeper", "salts")).alias("_ld_found"))

@@ -36,7 +36,8 @@ def resolve(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
     heads = cut(base.where(F.col("payload_bytes") >= min_payload).select("page_id", "payload_digest"))
-    first = heads.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    # Cut, so that the join has an exchange on either side and a hot payload's partition can be split.
+    first = cut(heads.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null"))
     again = heads.join(first, "payload_digest").where("page_id is null or page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
     again = again.toDF("_w_page", "_w_digest", "refers_to").hint("shuffle_hash")
     joined = base.join(again, base["page_id"].eqNullSafe(again["_w_page"]) & (base["payload_digest"] == again["_w_digest"]), "left")
