@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 #: A worker's memory of pre-tokens: so many in each of two
 #: generations, none longer than so many characters. Others are
 #: encoded each time; results don't depend on it.
-CACHE_SIZE, CACHE_CHARS = 300_000, 64
+CACHE_SIZE, CACHE_CHARS = 200_000, 48
 
 
 def default_vocabulary() -> str:
@@ -187,7 +187,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer()
-        for b in batches:
+        for b in slices(batches):
             names, counts, digests, decoded, lists = b.column("doc_id"), [], [], [], []
             for s in texts(b.column("text")):
                 got = t.encode(s)

@@ -60,5 +60,12 @@ def runs(offsets: np.ndarray, target: int = 1 << 20) -> Iterator[tuple[int, int]
         first = min(last, n)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches: what a worker holds as Python objects at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()

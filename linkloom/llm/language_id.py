@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffer, texts
+from .common import slices, text_buffer, texts
 
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 #: Training takes at most so many documents of each language, and windows of each of them.
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for b in batches:
+        for b in slices(batches):
             named, score = [], []
             strings = texts(b.column("text"))
             known = np.array([net is not None and _letter(s) is not None for s in strings], bool)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, slices, texts
 
 MIN_WORDS, LONG_LINE = 50, 25
 #: Occurrences of a chunk that one task compares with its first place; more are salted.
@@ -53,7 +53,7 @@ def _digest(lines: list[bytes]) -> tuple[int, int]:
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_hash", "start", "n_lines", "hash_a", "hash_b"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for doc, h, s in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), texts(b.column("text"))):
             lines = s.encode().split(b"\n")
@@ -70,7 +70,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     them only where they aren't later places of repeated chunks themselves."""
     names = ["doc_id", "text_hash", "start", "n_lines", "hash_a", "hash_b", "salt", "keeper", "chunk", "before", "after"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-    for b in batches:
+    for b in slices(batches):
         rows, size = [], 0
         for doc, h, s, found in zip(b.column("_ld_id").to_pylist(), b.column("_ld_key").to_pylist(), texts(b.column("_ld_text")), b.column("_ld_found").to_pylist()):
             lines = s.encode().split(b"\n")
@@ -148,7 +148,7 @@ def clean(text: str, ranges: list[tuple[int, int]], min_words: int = MIN_WORDS)
 
 def _clean_batches(min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out, before, gone = [], [], []
             for s, found in zip(b.column("_ld_text").to_pylist(), b.column("_ld_ranges").to_pylist()):
                 t, n, k = clean(s, [(r["start"], r["stop"]) for r in found or ()], min_words) if s is not None else (None, 0, 0)

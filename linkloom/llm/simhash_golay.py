@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, slices, texts
 
 RADIUS = 3
 SEED = 42
@@ -252,7 +252,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id: str
     """(doc_id, text_hash, fp) of every row; a null text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts(b.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SharedTokenizer, Tokenizer
-from .common import texts
+from .common import slices, texts
 
 LEAF = 32
 #: Whether a pre-token ends at a place depends on at most so many characters after it.
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             changes = b.column("edits").to_pylist()
             for s, todo in zip(texts(b.column("text")), changes):

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 #: Labelled rows a training takes at most of each label, those of least hash; the model's size,
 #: and the words a training row may bring, don't grow with the corpus.
@@ -27,6 +27,8 @@ SAMPLE, FOLDS, DIMENSION, SELECTED = 3000, 4, 1 << 18, 4096
 REJECT = 0.5
 #: Least G statistic (halved) of a feature: at this, few of the many tested pass by chance.
 GAIN = 7.0
+#: Words a worker remembers the features of.
+CACHE = 200_000
 #: Weak categories where labels have only an overall column: a toxic row with one of the words.
 INSULT = frozenset({"idiot", "loser", "moron", "scum", "clown"})
 CONTEMPT = frozenset({"pathetic", "worthless", "trash", "disgusting", "stupid"})
@@ -50,7 +52,7 @@ class Features:
         got = word_features(word)
         if self.wanted is not None:
             got = tuple(self.wanted[f] for f in got if f in self.wanted)
-        if len(self.cache) > 300_000:
+        if len(self.cache) > CACHE:
             self.cache.clear()
         if len(word) <= 40:
             self.cache[word] = got
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in batches:
+        for b in slices(batches):
             got = [sorted(features(s)) for s in texts(b.column("text"))]
             words = [set(_words(s.lower())) for s in texts(b.column("text"))]
             weaks = [pa.array([int(bool(w & vocabulary)) for w in words], pa.int32()) for vocabulary in (INSULT, CONTEMPT)]
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", carry: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         features = Features(model.features)
-        for b in batches:
+        for b in slices(batches):
             rows, columns = _flat([features(s) for s in texts(b.column("_tx_text"))])
             p = model.predict(rows, columns, b.num_rows)
             rest = [c for c in b.schema.names if c != "_tx_text"]
@@ -221,7 +223,7 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = REJECT, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         features = Features(model.features)
-        for b in batches:
+        for b in slices(batches):
             rows, columns = _flat([features(s) for s in texts(b.column(text))])
             yield b.filter(pa.array(model.predict(rows, columns, b.num_rows)[:, -1] < threshold))
 
