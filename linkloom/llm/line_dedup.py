@@ -1,8 +1,9 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over line hashes puts a boundary after about every second line. Two chunkings
-with complementary boundaries are taken, so of any three shared lines a whole chunk is shared
-by one of them, wherever the passage stands. A line of LONG_LINE words or more is a chunk of its
+Line hashes put a boundary after about every second line; the rolling window is one line, so a
+boundary depends on no line outside a shared passage. Two chunkings with complementary boundaries
+are taken, so of any three shared lines a whole chunk is shared by one of them, wherever the
+passage stands. A line of LONG_LINE words or more is a chunk of its
 own. Chunks found in several places are compared byte by byte with their first place, the match
 is carried on into the lines before and after, and runs of matched lines of MIN_WORDS words or
 more are removed everywhere but at the first place. What is removed equals lines at an earlier
@@ -30,10 +31,7 @@ def chunks(lines: list[bytes], long_line: int = LONG_LINE) -> list[tuple[int, in
     """(chunking, first line, lines) of all chunks with a word; sorted by chunking, then place."""
     words = [len(x.split()) for x in lines]
     long = [w >= long_line for w in words]
-    rolled, bits = 0, []
-    for x in lines:  # a window of one line: the hash depends on the line alone
-        rolled = xxhash.xxh64_intdigest(x.strip())
-        bits.append(rolled >> 17 & 1)
+    bits = [xxhash.xxh64_intdigest(x.strip()) >> 17 & 1 for x in lines]
     out = []
     for chunking in (0, 1):
         first = 0

@@ -207,6 +207,34 @@ def test_passages_go_and_clean_lines_stay(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def places_of_runs(rows):
+    """Documents that hold each shortest run of whole lines with MIN_WORDS words or more."""
+    found = {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        size = [len(x.encode().split()) for x in lines]
+        for i in range(len(lines)):
+            n = 0
+            for j in range(i, len(lines) if size[i] else i):
+                n += size[j]
+                if n >= line_dedup.MIN_WORDS:
+                    found.setdefault("\n".join(lines[i : j + 1]), []).append(doc)
+                    break
+    return found
+
+
+def test_no_repeated_run_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    old = [tuple(r) for r in docs.collect()]
+    new = [tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "text").collect()]
+    before, after = places_of_runs(old), places_of_runs(new)
+    repeated = {r for r, at in before.items() if len(at) > 1}
+    assert repeated and not [r for r, at in after.items() if len(at) > 1 and r in repeated]
+    touched = {d for r in repeated for d in before[r]}
+    texts = dict(old)
+    assert all(t == texts[d] for d, t in new if d not in touched)
+
+
 def test_repeats_in_one_document(spark):
     p = words("p", 30)
     df = spark.createDataFrame([(1, "\n".join([p, "a", words("q", 30), "b", p, words("z", 30), p, p]))], "doc_id long, text string")
