@@ -283,7 +283,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, text: str = "text", id: str = "d
     Of repeated rows with that doc_id one stays; a component of null ids keeps one row for each
     of its texts.
     """
-    found = near_duplicates(docs, shingle, text, id).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_first(docs, near_duplicates(docs, shingle, text, id), text, id)
+
+
+def keep_first(docs: DataFrame, labelled: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """keep_one for components found before: labelled has doc_id, text_hash, component_id."""
+    found = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = cut(found.groupBy(F.col("doc_id").alias("_nd_id")).agg(F.max("text_hash").alias("_nd_hash"), F.count("*").alias("_nd_rows")).union(
         # Null ids are no group: each of their texts stands for itself.
         found.where("doc_id is null").select(F.col("doc_id"), "text_hash", F.lit(1).cast("long")).distinct()).where("_nd_id is not null or _nd_rows = 1"))
