@@ -16,6 +16,8 @@ ROUTES = {"name": (5.0, None), "prefix": (3.5, 40), "trigram": (2.5, 30), "token
 LEXICAL = ("name", "prefix", "token", "postal", "addrnum")
 COMMON_TOKEN, COMMON_WEIGHT, MAX_TOKEN = 100, 1.5, 1500
 MAX_CANDIDATES, HUB = 20, 20
+#: The reference's caps a source (train.py, train_upgraded.py).
+DISTRACTORS, COMPETITORS = 250_000, 150_000
 
 
 def _keys(routes: tuple[str, ...]) -> Column:

@@ -235,3 +235,5 @@ f AS (SELECT 'malformed_row' AS rule, 'line ' || seq AS o FROM r WHERE seq % 29
     ),
 }
 ORACLE["stream_candidates"] = ORACLE["block_candidates"]
+ORACLE["needed_targets_full"] = ORACLE["needed_targets"].replace("i <= 50", "i <= 250000")
+ORACLE["hard_negatives_full"] = ORACLE["hard_negatives"].replace("i <= 100", "i <= 150000")

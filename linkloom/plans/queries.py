@@ -139,6 +139,20 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.competitors(s1, targets, truth_pairs(entities(spark, sf_dir)), 100).select("entity_id", "seq")
 
 
+@query
+def needed_targets_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """needed_targets with the reference's number of distractors a source."""
+    e = entities(spark, sf_dir)
+    return blocking.training_targets(e.where("bucket > 1"), truth_pairs(e), blocking.DISTRACTORS).select("entity_id", "seq")
+
+
+@query
+def hard_negatives_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hard_negatives with the reference's number of competitors a source."""
+    s1, targets = _sides(spark, sf_dir)
+    return blocking.competitors(s1, targets, truth_pairs(entities(spark, sf_dir)), blocking.COMPETITORS).select("entity_id", "seq")
+
+
 @query
 def id_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = entities(spark, sf_dir).where("bucket = 1").select(F.col("entity_id").alias("s1_id"), "seq")

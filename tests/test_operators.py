@@ -233,3 +233,12 @@ def test_blend(spark):
 def test_stream_equals_batch(spark, sf):
     a = queries.stream_candidates(spark, sf)
     assert a.exceptAll(queries.block_candidates(spark, sf)).count() == 0 and a.count() == queries.block_candidates(spark, sf).count()
+
+
+def test_full_queries_drop_no_target(spark):
+    big = "/root/testdata/sf0.01"
+    e = entities(spark, big)
+    assert queries.QUERIES["needed_targets_full"](spark, big).count() == e.where("bucket > 1").count() > queries.needed_targets(spark, big).count()
+    big = "/root/testdata/sf0.1"  # the smaller tables have under 100 competitors a source
+    full, capped = queries.QUERIES["hard_negatives_full"](spark, big), queries.hard_negatives(spark, big)
+    assert capped.exceptAll(full).count() == 0 and full.count() > capped.count()
