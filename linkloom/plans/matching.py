@@ -56,7 +56,10 @@ def matches(records: DataFrame, ensemble: models.Ensemble | None = None) -> Data
     each target."""
     if ensemble is None:
         s1, targets = sides(records, False)
-        pairs = features.with_records(scored_by_rule(records), s1, targets)
-    else:
-        pairs = ensemble.predict(featured(records))
+        return decided(features.with_records(scored_by_rule(records), s1, targets))
+    return decided(ensemble.predict(featured(records)))
+
+
+def decided(pairs: DataFrame) -> DataFrame:
+    """The final ones of scored pairs."""
     return policies.exclusive(policies.consistent(policies.main(pairs))).select("s1_id", "tid", "prob")

@@ -237,3 +237,9 @@ f AS (SELECT 'malformed_row' AS rule, 'line ' || seq AS o FROM r WHERE seq % 29
 ORACLE["stream_candidates"] = ORACLE["block_candidates"]
 ORACLE["needed_targets_full"] = ORACLE["needed_targets"].replace("i <= 50", "i <= 250000")
 ORACLE["hard_negatives_full"] = ORACLE["hard_negatives"].replace("i <= 100", "i <= 150000")
+ORACLE["predict_by_rule"] = _with(
+    f"""{SCORED}, {_consistent("mn")},
+ex AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY prob DESC, sseq) AS i FROM m3 WHERE prob >= CASE WHEN country = 'India' THEN CASE WHEN tid LIKE 'S3-%' THEN 0.72 ELSE 0.68 END WHEN country = 'France' THEN CASE WHEN tid LIKE 'S3-%' THEN 0.70 ELSE 0.65 END
+ ELSE CASE WHEN tid LIKE 'S3-%' THEN 0.75 ELSE 0.70 END END::DOUBLE)""",
+    "SELECT s1_id, tid, prob FROM ex WHERE i = 1",
+)

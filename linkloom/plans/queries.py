@@ -15,6 +15,9 @@ from ..sources.tables import entities, table, truth_pairs
 from ..streaming.matching import match_stream
 from . import matching
 
+#: Boosting rounds, as the reference has them, and as many trees of the forest.
+ROUNDS, TREES = 5, 5
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -372,19 +375,33 @@ def link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(policies.main(_scored(spark, sf_dir)).select(F.col("s1_id").alias("a"), F.col("tid").alias("b")))
 
 
+def _trained(spark: SparkSession, sf_dir: str, rounds: int, trees: int) -> tuple[models.Ensemble, DataFrame, DataFrame]:
+    """An ensemble of the records up to three quarters of the ids, the others' scores, all pairs."""
+    e = entities(spark, sf_dir)
+    cut = e.where("bucket = 1").agg(F.expr("percentile(seq, 0.75)").cast("long")).first()[0]
+    folder = new_folder(spark, "pairs")
+    matching.featured(e).write.parquet(folder)
+    pairs = spark.read.parquet(folder)
+    return *matching.train(pairs, truth_pairs(e), cut, rounds, trees), pairs
+
+
 @query
 def predict_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final pairs by the classifiers of train_ensemble over the features of all candidates."""
+    ensemble, _, pairs = _trained(spark, sf_dir, ROUNDS, TREES)
+    return matching.decided(ensemble.predict(pairs))
+
+
+@query
+def predict_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final pairs without a model: the retrieval score decides."""
     return matching.matches(entities(spark, sf_dir))
 
 
 @query
 def train_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the records after three quarters of the ids, by an ensemble of the others."""
-    e = entities(spark, sf_dir)
-    cut = e.where("bucket = 1").agg(F.expr("percentile(seq, 0.75)").cast("long")).first()[0]
-    folder = new_folder(spark, "pairs")
-    matching.featured(e).write.parquet(folder)
-    _, scored = matching.train(spark.read.parquet(folder), truth_pairs(e), cut, rounds=5, trees=5)
+    _, scored, _ = _trained(spark, sf_dir, ROUNDS, TREES)
     return scored.select("s1_id", "tid", "label", "p_boost", "p_forest", "prob")
 
 

@@ -242,3 +242,14 @@ def test_full_queries_drop_no_target(spark):
     big = "/root/testdata/sf0.1"  # the smaller tables have under 100 competitors a source
     full, capped = queries.QUERIES["hard_negatives_full"](spark, big), queries.hard_negatives(spark, big)
     assert capped.exceptAll(full).count() == 0 and full.count() > capped.count()
+
+
+def test_predictions_come_from_the_classifiers(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "ROUNDS", 2)
+    monkeypatch.setattr(queries, "TREES", 2)
+    asked = []
+    predict = models.Ensemble.predict
+    monkeypatch.setattr(models.Ensemble, "predict", lambda self, pairs: asked.append(pairs.columns) or predict(self, pairs))
+    final = queries.predict_matches(spark, sf)
+    assert set(features.BASE) <= set(asked[-1])
+    assert final.columns == ["s1_id", "tid", "prob"] and final.groupBy("tid").count().where("count > 1").count() == 0
