@@ -16,7 +16,7 @@ from ..streaming.matching import match_stream
 from . import matching
 
 #: Boosting rounds, as the reference has them, and as many trees of the forest.
-ROUNDS, TREES = 5, 5
+ROUNDS, TREES = 200, 200
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 

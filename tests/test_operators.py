@@ -253,3 +253,7 @@ def test_predictions_come_from_the_classifiers(spark, sf, monkeypatch):
     final = queries.predict_matches(spark, sf)
     assert set(features.BASE) <= set(asked[-1])
     assert final.columns == ["s1_id", "tid", "prob"] and final.groupBy("tid").count().where("count > 1").count() == 0
+
+
+def test_the_registered_ensemble_has_the_references_size():
+    assert queries.ROUNDS >= 200 and queries.TREES >= 200
