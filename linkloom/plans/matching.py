@@ -15,7 +15,7 @@ def sides(records: DataFrame, other_scripts: bool = True) -> tuple[DataFrame, Da
     return n.where("bucket = 1"), n.where("bucket > 1")
 
 
-def blocked(records: DataFrame, other_scripts: bool = False, routes: tuple[str, ...] = tuple(blocking.ROUTES), max_candidates: int = blocking.MAX_CANDIDATES) -> DataFrame:
+def blocked(records: DataFrame, other_scripts: bool = True, routes: tuple[str, ...] = tuple(blocking.ROUTES), max_candidates: int = blocking.MAX_CANDIDATES) -> DataFrame:
     s1, targets = sides(records, other_scripts)
     return blocking.candidates(s1, targets, routes, max_candidates)
 
@@ -28,7 +28,7 @@ def scored_by_rule(records: DataFrame, max_candidates: int = blocking.MAX_CANDID
     return pairs.join(own, "s1_id").select("s1_id", "tid", "tseq", "sseq", "country", (F.col("score") / (F.col("score") + 5.0)).alias("prob"))
 
 
-def featured(records: DataFrame, other_scripts: bool = False) -> DataFrame:
+def featured(records: DataFrame, other_scripts: bool = True) -> DataFrame:
     """Candidate pairs with base features, hubs included, and both records' order and country."""
     s1, targets = sides(records, other_scripts)
     pairs = blocking.candidates(s1, targets)
@@ -55,7 +55,7 @@ def matches(records: DataFrame, ensemble: models.Ensemble | None = None) -> Data
     """Final pairs (s1_id, tid, prob): block, score, decide, check consistency, one record for
     each target."""
     if ensemble is None:
-        s1, targets = sides(records, False)
+        s1, targets = sides(records)
         return decided(features.with_records(scored_by_rule(records), s1, targets))
     return decided(ensemble.predict(featured(records)))
 

@@ -27,11 +27,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.normalize(entities(spark, sf_dir), other_scripts=False)
+    return text.normalize(entities(spark, sf_dir))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return matching.sides(entities(spark, sf_dir), False)
+    return matching.sides(entities(spark, sf_dir))
 
 
 def _joined(c: str):  # noqa: ANN202
@@ -412,5 +412,5 @@ def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir)
     e.where("bucket = 1").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in")
-    match_stream(stream, _sides(spark, sf_dir)[1], f"{folder}/out", f"{folder}/checkpoint", other_scripts=False).awaitTermination()
+    match_stream(stream, _sides(spark, sf_dir)[1], f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("s1_id", "tid", "score", F.col("rank").cast("long").alias("rank"))

@@ -257,3 +257,15 @@ def test_predictions_come_from_the_classifiers(spark, sf, monkeypatch):
 
 def test_the_registered_ensemble_has_the_references_size():
     assert queries.ROUNDS >= 200 and queries.TREES >= 200
+
+
+def test_a_record_in_another_script_meets_its_latin_one(spark):
+    rows = [("S1-1", "राम मोहन", "", "India", 1, 1), ("S2-1", "ram mohan", "", "India", 2, 2)]
+    e = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string, seq long, bucket int")
+    assert ids(matching.blocked(e)) == [("S1-1", "S2-1")]
+
+
+def test_transliteration_leaves_the_tables_as_they_are(spark):
+    e = entities(spark, "/root/testdata/sf0.01").select("entity_id", "business_name", "business_address", "country")
+    a, b = (normalize(e, x).select("entity_id", "clean_name", "clean_address") for x in (True, False))
+    assert a.exceptAll(b).count() == 0
