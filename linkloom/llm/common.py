@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Only where it is unset and the session is local (tests) is a temporary one made.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="linkloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from ..sources.storage import drop, new_folder, shared_folder, stored  # noqa: F401
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, new_folder(df.sparkSession, "cut"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +48,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 def texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+    """Whether the size[i] bytes from a[i] equal those from b[i], for all i."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(size)
+    first = 0
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + step, "right")))
+        n = size[first:last]
+        if last - first == 1:  # one that may be long: as slices
+            out[first] = np.array_equal(data[a[first] : a[first] + n[0]], data[b[first] : b[first] + n[0]])
+        else:
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = data[np.repeat(a[first:last], n) + inside] != data[np.repeat(b[first:last], n) + inside]
+            out[first:last] = np.bincount(np.repeat(np.arange(last - first), n)[differ], minlength=last - first) == 0
+        first = last
+    return out

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.clusters import components
 from .common import cut, slices, texts
 
 RADIUS = 3
@@ -230,24 +231,6 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the least node connected with node, by alternating stars
-    (Kiveris and others, 2014). Every round ends in a checkpoint; nothing goes to the driver but
-    a count and a hash sum."""
-    now, seen = cut(edges.select("a", "b")), None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()  # b's star goes to m
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x <> y")
-        now = cut(small.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).collect()[0]
-        if state == seen:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("label"))
-        seen = state
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, text_hash, fp) of every row; a null text has fingerprint 0."""
 
