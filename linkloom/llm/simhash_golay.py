@@ -202,12 +202,11 @@ def _link_batches(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iter
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between two blocks: each fingerprint of one with its first near one of the other."""
+    """Edges that join what is connected within two blocks: one less than their fingerprints at most."""
     for batch in batches:
-        for x, y in zip(batch.column("fps").to_pylist(), batch.column("other").to_pylist()):
-            x, y, edges = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), []
-            for v in x:
-                edges += [(int(v), int(w)) for w in y[near(y, v)]]
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("fps", "other"))
+            edges = forest(np.concatenate([x, y]))
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
@@ -244,39 +243,53 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id: str
     return chosen.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
+def _labelled(prints: DataFrame) -> DataFrame:
+    """(fp, rep, label) of every fingerprint: its least doc_id and its component."""
+    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    joined = components(links(reps.select("fp")))
+    return reps.join(joined, reps["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, text_hash, fp and component_id of every row of docs.
 
     component_id is the least doc_id reachable over links of at most three differing bits. Null
     texts count as empty; empty texts share fingerprint 0, linked like any other. Rows with a null
     doc_id take part and name no component (null if a component has no other). Repeated rows stay.
-    An empty table gives an empty one. Equal texts are one node, however many there are.
+    An empty table gives an empty one. Equal texts are one node, however many there are. Texts are
+    read whole. Other columns are not carried.
     """
     prints = cut(fingerprints(docs, shingle, text, id))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    joined = components(links(reps.select("fp")))
-    labelled = reps.join(joined, reps["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(prints)
     names = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     return prints.join(labelled.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stand for their component: those with the least doc_id.
-
-    Of repeated rows with that doc_id one stays; a component of null ids keeps one row for each
-    of its texts.
-    """
-    return keep_first(docs, near_duplicates(docs, shingle, text, id), text, id)
-
-
-def keep_first(docs: DataFrame, labelled: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """keep_one for components found before: labelled has doc_id, text_hash, component_id."""
-    found = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = cut(found.groupBy(F.col("doc_id").alias("_nd_id")).agg(F.max("text_hash").alias("_nd_hash"), F.count("*").alias("_nd_rows")).union(
-        # Null ids are no group: each of their texts stands for itself.
-        found.where("doc_id is null").select(F.col("doc_id"), "text_hash", F.lit(1).cast("long")).distinct()).where("_nd_id is not null or _nd_rows = 1"))
-    mine = docs.withColumn("_nd_text", F.xxhash64(text))
-    kept = mine.join(chosen.hint("shuffle_hash"), mine[id].eqNullSafe(chosen["_nd_id"]) & (mine["_nd_text"] == chosen["_nd_hash"]), "left_semi")
-    if chosen.where("_nd_rows > 1 or _nd_id is null").isEmpty():
-        return kept.drop("_nd_text")
-    return kept.dropDuplicates([id, "_nd_text"]).drop("_nd_text")
+    """One row of docs for each component, with all its columns: that of the least (doc_id, text
+    hash), null ids last. An id that stands on several texts is no link between them."""
+    prints = cut(fingerprints(docs, shingle, text, id))
+    return keep_first(docs, prints.withColumnRenamed("fp", "node"), _labelled(prints).select(F.col("fp").alias("node"), "label"), text, id)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, labels: DataFrame, text: str, id: str) -> DataFrame:
+    """The rows of docs that stand for their component. rows: (doc_id, text_hash, node) of all
+    rows; labels: (node, label). Rows are counted by node before nodes meet, so no join sees the
+    copies of a text."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")
+    by_row = rows.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    by_node = by_row.groupBy("node").agg(F.min(order).alias("first"))
+    chosen = cut(by_node.join(labels, "node").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_nd_id"), F.col("first.text_hash").alias("_nd_hash"), F.col("first.n").alias("_nd_rows")))
+    text_hash = F.xxhash64(text)
+    own, theirs = docs[id], chosen["_nd_id"]
+    # Built on: a row of three numbers for each component in the partition, less than its texts.
+    kept = docs.join(chosen.hint("shuffle_hash"), own.eqNullSafe(theirs) & (text_hash == chosen["_nd_hash"]), "left_semi")
+    if chosen.where("_nd_rows > 1").isEmpty():
+        return kept
+    # Repeated rows of one id and text: one of each stays, the others' columns go with them.
+    several = chosen.where("_nd_rows > 1").hint("shuffle_hash")
+    again = (own.eqNullSafe(several["_nd_id"])) & (text_hash == several["_nd_hash"])
+    single, repeated = kept.join(several, again, "left_anti"), kept.join(several, again, "left_semi")
+    names = docs.columns
+    one = repeated.groupBy(F.col(id).alias("_nd_id"), text_hash.alias("_nd_hash")).agg(*(F.first(c).alias(c) for c in names))
+    return single.unionByName(one.select(*names))

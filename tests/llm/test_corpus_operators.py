@@ -102,7 +102,7 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c in want.values()})
     assert simhash_golay.near_duplicates(df.limit(0)).count() == 0
-    nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "q r s t")], "doc_id long, text string")
+    nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "q r s t")], "doc_id long, text string")  # a component each
     assert simhash_golay.keep_one(nulls).count() == 2
 
 
