@@ -1,7 +1,8 @@
 """Words and hashes over whole Arrow text buffers in numpy, without a Python loop per word.
 
 A span's hash is a polynomial in the random values of its bytes modulo 2**64, taken from
-prefix sums; it is mixed before anything is built on it.
+prefix sums; it is mixed before anything is built on it. There are long texts of two letters that
+such hashes don't tell apart, so words of over LONG_WORD bytes have an XXH64 instead.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 U = np.uint64
+LONG_WORD = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -65,6 +68,15 @@ class Hasher:
         return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of data (contiguous)."""
+    out = Hasher(data)(start, end)
+    view = memoryview(data)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(view[start[i] : end[i]], 7)
+    return out
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each maximal run of bytes that are inside, documents apart."""
     n = len(data)

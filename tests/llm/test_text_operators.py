@@ -131,6 +131,37 @@ def test_quality_equals_brute_force(spark, some):
     assert quality_rules.quality(df.limit(0)).count() == 0
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def measured(texts):
+    got = quality_rules.measure(*text_buffer(pa.array(texts, pa.string())))
+    return [tuple(int(got[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for i in range(len(texts))]
+
+
+def test_texts_that_polynomial_hashes_confuse(monkeypatch):
+    a, b = thue_morse(1024), thue_morse(1024, "ba")
+    fill = " one two three four five six seven "
+    texts = [f"{a}\n{b}", a + fill + b + fill, f"{a}{fill}\n{b}{fill}", "\n".join([a, b, a])]
+    assert measured(texts) == [slow_quality(t)[:5] for t in texts]
+    # Even where all short words have one hash.
+    monkeypatch.setattr(quality_rules, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    texts = ["p q r s t u v w x y " * 2 + "y x w v u t s r q p", " ".join("abcdefghij"[(i * i) % 10] for i in range(300))]
+    assert measured(texts) == [slow_quality(t)[:5] for t in texts]
+
+
+def test_long_texts_in_blocks(monkeypatch, some):
+    """Blocks that cut a text anywhere, and parts in sorting, change nothing."""
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "be", "#", "é" * 30, "x" * 400, "the of\nand"]) for _ in range(900))
+    texts = [long, "w" * 700, "w" * 64 + " " + "v" * 200, " " * 300, *some[:10]]
+    want = [slow_quality(t)[:5] for t in texts]
+    monkeypatch.setattr(quality_rules, "BLOCK", 64)
+    monkeypatch.setattr(quality_rules, "PASS", 10)
+    assert [measured([t])[0] for t in texts] == want
+
+
 def test_word_spans_and_lines(some):
     data, offsets = text_buffer(pa.array([*some, None]))
     start, end, doc = textnum.spans(data, offsets, textnum.NOT_SPACE)
