@@ -3,7 +3,9 @@
 A conversation's turns become windows of at most `budget` tokens that begin and end at turns.
 Prefix sums of turn tokens choose each span: the leading system turn, up to `history` tokens of
 turns that an earlier window held, then new turns. Only assistant turns that are new carry loss,
-so every assistant text is learned once.
+so every assistant text is learned once. Tokens are those of the rendered turn, with role, marks
+and escapes; as a turn ends in a line break and the next begins with "###", no pre-token spans
+two turns and a window's tokens are the sum of its turns'.
 
 Template: "### Role: text </turn>\\n". A backslash goes before every backslash, "###" and
 "</turn>" inside roles and texts, which undoes itself exactly.
@@ -42,11 +44,16 @@ def unescape(s: str) -> str:
     return _unescape(r"\1", s)
 
 
+def parts(role: str, text: str) -> tuple[str, str]:
+    """A rendered turn up to its text, and its escaped text; CLOSE follows."""
+    return f"{OPEN}{escape_role(role)}: ", escape(text)
+
+
 def render(turns: list[tuple[str, str]], first_new: int) -> tuple[str, list[dict]]:
     """The text of a window and its loss spans; turns before first_new are repeated ones."""
     out, loss, at = [], [], 0
     for i, (role, text) in enumerate(turns):
-        head, body = f"{OPEN}{escape_role(role)}: ", escape(text)
+        head, body = parts(role, text)
         if role == "assistant" and i >= first_new:
             loss.append({"start": at + len(head), "stop": at + len(head) + len(body)})
         out += [head, body, CLOSE]
@@ -62,10 +69,14 @@ class Windows:
         self.system: list[tuple[tuple[str, str], int]] = []
         self.old: list[tuple[tuple[str, str], int]] = []
         self.new: list[tuple[tuple[str, str], int]] = []
-        self.sums, self.number, self.begun = [0], 0, False
+        self.sums, self.number, self.begun, self.retained = [0], 0, False, True
+
+    def _kept(self) -> list[tuple[tuple[str, str], int]]:
+        """The system turn, where this window repeats it."""
+        return self.system if self.number and self.retained else []
 
     def _close(self) -> tuple:
-        again = (self.system if self.number else []) + self.old
+        again = self._kept() + self.old
         text, loss = render([t for t, _ in again + self.new], len(again))
         row = (self.conv, self.number, len(again), text, loss)
         self.number += 1
@@ -76,17 +87,20 @@ class Windows:
             if sums[-1] + n > self.history:
                 break
             sums.append(sums[-1] + n)
-        self.old, self.new = tail[len(tail) - len(sums) + 1 :], []
+        self.old, self.new, self.sums, self.retained = tail[len(tail) - len(sums) + 1 :], [], [0], True
         return row
 
+    def _used(self) -> int:
+        return sum(n for _, n in self._kept() + self.old) + self.sums[-1]
+
     def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
         turn = ((role, text), tokens)
-        used = lambda: sum(n for _, n in (self.system if self.number else []) + self.old) + self.sums[-1]
-        if self.new and used() + tokens > self.budget:
+        if self.new and self._used() + tokens > self.budget:
             yield self._close()
-            self.sums = [0]
-        while self.old and not self.new and used() + tokens > self.budget:
-            self.old.pop(0)  # history gives way to a new turn; a turn over the budget goes alone
+        if not self.new:  # history gives way to a new turn, then the system turn does
+            while self.old and self._used() + tokens > self.budget:
+                self.old.pop(0)
+            self.retained = self._used() + tokens <= self.budget
         if not self.begun and role == "system":
             self.system = [turn]
         self.begun = True
@@ -108,10 +122,13 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     """Windows (conv_id, window, n_repeated, text, loss) of turns (conv_id, turn, role, text).
 
     Rows are taken by turn, then role and text (ties, repeated rows: each a turn; null turn
-    first). Null text and role count as empty. Null conv_ids are one conversation. A turn is
-    never cut: one over the budget has a window of its own, with the system turn. Only a leading
-    system turn is retained. Rows stream through a task sorted, so a conversation of any length
-    needs the memory of a window.
+    first). Null text and role count as empty. Null conv_ids are one conversation. No window of
+    several turns has over `budget` tokens. A turn is never cut: one over the budget has a window
+    of its own; one that doesn't fit beside the system turn has none beside it. Only a leading
+    system turn is retained. An empty table gives no windows; other columns are not carried.
+
+    Rows stream through a task sorted, so a conversation of any length needs the memory of a
+    window. One conversation is one task's: where its windows begin depends on all turns before.
     """
     tokenizer = SharedTokenizer(turns.sparkSession, path, pattern)
 
@@ -122,7 +139,8 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
                 if now is None or conv != now.conv:
                     rows += now.end() if now else ()
                     now = Windows(conv, budget, history)
-                for row in now.add(role, text, sum(map(len, t.pieces(text)))):
+                head, body = parts(role, text)
+                for row in now.add(role, text, sum(map(len, t.pieces(head + body + CLOSE)))):
                     rows.append(row)
                     size += len(row[3])
                 if len(rows) >= 2000 or size > 8 << 20:

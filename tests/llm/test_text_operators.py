@@ -268,10 +268,27 @@ def test_chat_round_trip(spark, sf):
 
 def test_chat_budget(spark, tokenizer):
     rows = [(3, i, "user" if i % 2 else "assistant", "word " * (i * 37 % 300)) for i in range(60)]
+    rows += [(4, i, "user", "ok") for i in range(3000)] + [(5, i, "assistant", None) for i in range(300)]
+    rows += [(6, i, "system" if not i else "user", "\\ ### </turn> " * (5 + i % 60)) for i in range(80)]
+    rows += [(7, 0, "system", "s " * 350), (7, 1, "user", "u " * 30), (7, 2, "user", "v " * 100), (7, 3, "assistant", "w " * 900), (8, 0, "system", "t " * 500), (8, 1, "user", "u")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for r in chat.format_conversations(df, budget=400, history=100).collect():
-        turns = [(chat.unescape(m[1]), chat.unescape(m[2])) for m in chat._turn.finditer(r["text"])]
-        assert len(turns) == 1 or sum(len(tokenizer.encode(t)) for _, t in turns) <= 400
+    windows = chat.format_conversations(df, budget=400, history=100)
+    for r in windows.collect():
+        assert sum(1 for _ in chat._turn.finditer(r["text"])) == 1 or len(tokenizer.encode(r["text"])) <= 400
+    by = {c: [r for r in windows.where(f"conv_id = {c}").orderBy("window").collect()] for c in (4, 7)}
+    assert all(len(tokenizer.encode(r["text"])) > 300 for r in by[4][:-1])  # and they are well filled
+    # The system turn stands before what fits beside it only.
+    assert [r["n_repeated"] for r in by[7]] == [0, 0, 0]
+    got = {r["conv_id"]: r["n_turns"] for r in chat.read_windows(windows).collect()}
+    assert got == {3: 60, 4: 3000, 5: 300, 6: 80, 7: 4, 8: 2}
+
+
+def test_chat_very_long_turn(spark):
+    text = "longer and longer </turn> \\ " * 200_000
+    df = spark.createDataFrame([(1, 0, "system", "be"), (1, 1, "assistant", text), (1, 2, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.read_windows(chat.format_conversations(df)).first()
+    assert (r["n_turns"], r["loss_chars"]) == (3, 2 * len(text))
+    assert r["loss_sha256"] == hashlib.sha256((text * 2).encode()).hexdigest()
 
 
 def test_language_held_out_accuracy(spark):
