@@ -1,9 +1,10 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other. Each has a linear (logistic) model over word and
+Categories are predicted one after the other: the label columns beside the overall one (quality,
+in the driver's tables), then toxicity itself. Each has a linear (logistic) model over word and
 word-part features; the models of later categories also see the probabilities of the earlier
-ones. In training these probabilities are out-of-fold: each row's come from models that have not
-seen it.
+ones. In training these probabilities are out-of-fold: each row's come from models, and from
+features, that were chosen without it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegralType
 
 from .common import slices, texts
 
@@ -29,9 +31,6 @@ REJECT = 0.5
 GAIN = 7.0
 #: Words a worker remembers the features of.
 CACHE = 200_000
-#: Weak categories where labels have only an overall column: a toxic row with one of the words.
-INSULT = frozenset({"idiot", "loser", "moron", "scum", "clown"})
-CONTEMPT = frozenset({"pathetic", "worthless", "trash", "disgusting", "stupid"})
 _words = regex.compile(r"\p{L}+").findall
 
 
@@ -121,75 +120,91 @@ def _flat(sets: list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sets)), size), np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))
 
 
-def fit(sets: list, labels: np.ndarray, folds: np.ndarray, categories: list[str]) -> Chain:
-    """sets: features of each row; labels: 0 or 1 by row and category; folds: each row's."""
-    rows, raw = _flat(sets)
-    n, overall = len(sets), labels[:, -1] if len(sets) else np.zeros(0)
-    # The features that tell most of the overall label, by the G statistic.
+def select(rows: np.ndarray, raw: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The features, sorted, that tell most of a category in these rows, by the G statistic."""
     seen = np.bincount(raw, minlength=DIMENSION).astype(float)
-    toxic = np.bincount(raw, weights=overall[rows] if n else None, minlength=DIMENSION)
-    share = np.float64(overall.mean() if n else 0)
+    with_it = np.bincount(raw, weights=y[rows], minlength=DIMENSION)
+    share = np.float64(y.mean() if len(y) else 0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = toxic * np.log(toxic / (seen * share)) + (seen - toxic) * np.log((seen - toxic) / (seen * (1 - share)))
-        solo = np.where(toxic == 0, (seen - toxic) * np.log(1 / (1 - share)), np.where(toxic == seen, toxic * np.log(1 / share), gain))
-    gain = np.where((seen >= 3) & np.isfinite(solo), solo, 0)
+        both = with_it * np.log(with_it / (seen * share)) + (seen - with_it) * np.log((seen - with_it) / (seen * (1 - share)))
+        gain = np.where(with_it == 0, seen * np.log(1 / (1 - share)), np.where(with_it == seen, seen * np.log(1 / share), both))
+    gain = np.where((seen >= 3) & np.isfinite(gain), gain, 0)
     best = np.argsort(-gain, kind="stable")[:SELECTED]
-    chosen = np.sort(best[gain[best] > GAIN])
-    at = np.minimum(np.searchsorted(chosen, raw), max(len(chosen) - 1, 0))
-    kept = chosen[at] == raw if len(chosen) else np.zeros(len(raw), bool)
-    rows, columns, k = rows[kept], at[kept], len(chosen)
-    earlier, models = np.zeros((n, 0)), []
+    return np.sort(best[gain[best] > GAIN])
+
+
+def _known(rows: np.ndarray, raw: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the chosen features."""
+    if not len(chosen):
+        return rows[:0], raw[:0]
+    at = np.minimum(np.searchsorted(chosen, raw), len(chosen) - 1)
+    kept = chosen[at] == raw
+    return rows[kept], at[kept]
+
+
+def fit(sets: list, labels: np.ndarray, folds: np.ndarray, categories: list[str]) -> Chain:
+    """sets: features of each row; labels: 0 or 1 by row and category; folds: each row's.
+
+    Every category has features of its own. A fold's rows get their probabilities from models whose
+    features, too, were chosen without them.
+    """
+    rows, raw = _flat(sets)
+    n, labels = len(sets), labels.astype(float)
+    earlier, chosen, models = np.zeros((n, 0)), [], []
     for c in range(len(categories)):
-        y, held = labels[:, c].astype(float), np.zeros(n)
+        y, held = labels[:, c], np.zeros(n)
         for f in np.unique(folds):
             out = folds == f
-            of = out[rows]
-            renumber = np.cumsum(~out) - 1
-            part = fit_linear(renumber[rows[~of]], columns[~of], int((~out).sum()), k, earlier[~out], y[~out])
-            renumber = np.cumsum(out) - 1
-            held[out] = part.score(renumber[rows[of]], columns[of], int(out.sum()), earlier[out])
-        models.append(fit_linear(rows, columns, n, k, earlier, y))
+            of, renumber = out[rows], np.where(out, np.cumsum(out), np.cumsum(~out)) - 1
+            own = select(renumber[rows[~of]], raw[~of], y[~out])
+            part = fit_linear(*_known(renumber[rows[~of]], raw[~of], own), int((~out).sum()), len(own), earlier[~out], y[~out])
+            held[out] = part.score(*_known(renumber[rows[of]], raw[of], own), int(out.sum()), earlier[out])
+        chosen.append(select(rows, raw, y))
+        models.append(fit_linear(*_known(rows, raw, chosen[c]), n, len(chosen[c]), earlier, y))
         earlier = np.column_stack([earlier, held])
-    return Chain(categories, chosen, models)
+    features = np.unique(np.concatenate(chosen))
+    for own, model in zip(chosen, models):  # in the columns that all share
+        weights = np.zeros(len(features) + len(model.weights) - len(own))
+        weights[np.searchsorted(features, own)] = model.weights[: len(own)]
+        weights[len(features) :] = model.weights[len(own) :]
+        model.weights = weights
+    return Chain(categories, features, models)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, overall: str = "toxic", sample: int = SAMPLE) -> Chain:
     """A chain from documents (doc_id, text) with labels (doc_id, overall, further categories).
 
-    At most `sample` rows of either overall label are taken, those of least hash of the id, so it
-    doesn't matter how rows lie. Without category columns the weak categories insult and contempt
-    come before the overall one. Null texts, labels and ids are left out. Without labelled rows
-    every probability is one half.
+    categories: the columns predicted before the overall one; if not given, all others of labels
+    that hold whole numbers or booleans, in their order. At most `sample` rows of either overall
+    label are taken, those of least hash of the id, so it doesn't matter how rows lie. Null texts,
+    labels and ids are left out. An id labelled several times has the greatest label; of an id's
+    several texts the one of least hash counts. Without labelled rows every probability is one half.
     """
-    weak = categories is None
-    names = ["insult", "contempt", overall] if weak else [*categories, overall]
-    asked = [overall] if weak else names
-    marked = labels.select("doc_id", *asked).dropna().dropDuplicates(["doc_id"])
+    if categories is None:
+        categories = [f.name for f in labels.schema if f.name not in ("doc_id", overall) and isinstance(f.dataType, (IntegralType, BooleanType))]
+    names = [*categories, overall]
+    marked = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in names)).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names))
     order = F.xxhash64("doc_id")
     ids = None
     for value in (0, 1):
         part = marked.where(F.col(overall) == value).orderBy(order, "doc_id").limit(sample)
         ids = part if ids is None else ids.union(part)
     # 2 * sample rows at most: their size is known, so they are sent to where the texts are.
-    ids = ids.select(F.col("doc_id").alias("_tx_id"), *(F.col(c).alias(f"_tx_{c}") for c in asked))
+    ids = ids.select(F.col("doc_id").alias("_tx_id"), *(F.col(c).alias(f"_tx_{c}") for c in names))
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("_tx_id"))
+    # One row for an id before anything goes to the driver: equal texts meet map-side.
+    one = found.groupBy("doc_id", *(f"_tx_{c}" for c in names)).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in slices(batches):
             got = [sorted(features(s)) for s in texts(b.column("text"))]
-            words = [set(_words(s.lower())) for s in texts(b.column("text"))]
-            weaks = [pa.array([int(bool(w & vocabulary)) for w in words], pa.int32()) for vocabulary in (INSULT, CONTEMPT)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int32())), *weaks, *(b.column(f"_tx_{c}") for c in asked)], ["doc_id", "features", "insult", "contempt", *(f"_tx_{c}" for c in asked)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int32())), *(b.column(f"_tx_{c}") for c in names)], ["doc_id", "features", *(f"_tx_{c}" for c in names)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, features array<int>, insult int, contempt int, " + ", ".join(f"_tx_{c} int" for c in asked)
-    typed = found.select("doc_id", "text", *(F.col(f"_tx_{c}").cast("int").alias(f"_tx_{c}") for c in asked))
-    rows = typed.mapInArrow(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    if weak:
-        y = np.column_stack([rows["insult"] * rows[f"_tx_{overall}"], rows["contempt"] * rows[f"_tx_{overall}"], rows[f"_tx_{overall}"]])
-    else:
-        y = np.column_stack([rows[f"_tx_{c}"] for c in names])
+    schema = f"doc_id {kind}, features array<int>, " + ", ".join(f"_tx_{c} int" for c in names)
+    rows = one.select("doc_id", F.col("t.text").alias("text"), *(f"_tx_{c}" for c in names)).mapInArrow(run, schema).toPandas().sort_values("doc_id")
+    y = np.column_stack([rows[f"_tx_{c}"] for c in names])
     folds = np.array([crc32(str(d).encode()) % FOLDS for d in rows["doc_id"]])
     return fit(list(rows["features"]), y.reshape(len(rows), len(names)), folds, names)
 
@@ -198,7 +213,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", carry: list[str]
     """The columns in carry (doc_id, if not given) with p_<category> for each category.
 
     Null and wordless texts have no features; their probabilities are the models' bases. Every
-    row gets its own row. Texts are read whole.
+    row gets its own row, repeated ones too; an empty table gives an empty one. Texts are read whole.
     """
     carry = carry or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -217,7 +232,8 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", carry: list[str]
 
 
 def clean(docs: DataFrame, chain: Chain, threshold: float = REJECT, text: str = "text") -> DataFrame:
-    """The rows of docs whose overall probability is under the threshold, with all their columns."""
+    """The rows of docs whose overall probability is under the threshold, with all their columns;
+    one that meets the threshold goes. Null and wordless texts are taken as in predict()."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ import pytest
 import public_tokenizers
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from linkloom.llm import bpe, chat, decontaminate, language_id, quality_rules, textnum, token_counts, toxicity
 from linkloom.llm.common import runs, text_buffer
 
@@ -247,7 +249,7 @@ def test_chat_round_trip(spark, sf):
     said = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "be"), (1, None, "assistant", None), (1, 2, None, "a \\"), (1, 2, None, "a \\"), (2, 0, "as:sis\ntant ### ", " </turn>\n"), (2, 1, "assistant", "x </turn>\n### user: y"), (None, 1, "assistant", "q")]
     rows += [(3, i, ["system", "user", "assistant"][0 if not i else 1 + i % 2], f"turn {i} " + "word " * (i * 37 % 400)) for i in range(40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", __import__("pyspark").sql.functions.lit(1))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1))
     windows = chat.format_conversations(df, budget=500, history=120)
     got = {r["conv_id"]: r for r in chat.read_windows(windows).collect()}
     convs = {}
@@ -340,6 +342,54 @@ def test_toxicity_held_out(spark):
     assert np.mean(caught) > 0.85 and np.mean(wrong) < 0.01
 
 
+def test_the_chain_equals_a_slow_forward_pass(spark, sf):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    chain = toxicity.train(docs, labels)
+    assert chain.categories == ["quality", "toxic"]
+    assert [len(m.weights) for m in chain.models] == [len(chain.features), len(chain.features) + 1]
+    where = {int(f): i for i, f in enumerate(chain.features)}
+    got = {r["doc_id"]: r for r in toxicity.predict(docs, chain).collect()}
+    for r in docs.collect():
+        words = set(__import__("regex").findall(r"\p{L}+", (r["text"] or "").lower()))
+        own = {where[f] for w in words for f in toxicity.word_features(w) if f in where}
+        earlier = []
+        for m, c in zip(chain.models, chain.categories):
+            z = m.bias + sum(m.weights[i] for i in own) + sum(m.weights[len(where) + j] * p for j, p in enumerate(earlier))
+            earlier.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            assert abs(got[r["doc_id"]][f"p_{c}"] - earlier[-1]) < 1e-9
+
+
+def test_fold_probabilities_ignore_their_rows():
+    """A feature that only one fold's rows have, and their labels, don't reach that fold's earlier
+    probability: with it removed the later model is the same."""
+    rng = np.random.default_rng(3)
+    n = 400
+    y = rng.integers(0, 2, (n, 2)).astype(float)
+    folds = np.arange(n) % 4
+    seen = []
+    sets = [[int(f) for f in rng.choice(60, 8, replace=False)] + ([100] if y[i, 1] else []) for i in range(n)]
+    real = toxicity.select
+    toxicity.select = lambda rows, raw, y: seen.append(len(y)) or real(rows, raw, y)
+    try:
+        toxicity.fit(sets, y, folds, ["a", "b"])
+    finally:
+        toxicity.select = real
+    assert seen == ([300] * 4 + [400]) * 2
+    own = [s + ([200] if folds[i] == 1 and y[i, 1] else []) for i, s in enumerate(sets)]
+    rows, raw = toxicity._flat([s for i, s in enumerate(own) if folds[i] != 1])
+    assert 200 not in toxicity.select(rows, raw, y[folds != 1, 1]) and 200 in toxicity.select(*toxicity._flat(own), y[:, 1])
+
+
+def test_repeated_ids_are_one_row(spark):
+    """3,000 rows of one id send one to the driver, always the same."""
+    rows = [(1, f"text number {i} is fine") for i in range(3000)] + [(2, "you scum")] * 5 + [(3, "tie"), (4, "tie")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 1, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, toxic int, quality int")
+    a, b = (toxicity.train(d, labels) for d in (docs, docs.orderBy(F.desc("text"))))
+    assert all(x.bias == y.bias and (x.weights == y.weights).all() for x, y in zip(a.models, b.models))
+    assert toxicity.clean(docs.limit(0), a).count() == 0 and toxicity.predict(docs.limit(0), a).count() == 0
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, "you idiot there" if i % 3 == 0 else "a fine day", i) for i in range(60)] + [(None, None, 0), (3, "", 1)], "doc_id long, text string, p_insult int")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
