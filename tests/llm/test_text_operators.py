@@ -245,6 +245,34 @@ def test_multi_index_finds_all_in_radius():
         assert item in index.lookup(np.array([fp], np.uint64), 30 + item % 2)[1]
 
 
+def test_lookups_of_alike_items_hold_little():
+    """Templated items, whose fingerprints are near each other, against as many windows."""
+    import tracemalloc
+
+    base = "fill in the blank of this sentence with one of the words that were given above and say why".split()
+    items = [(i, " ".join([*base, f"n{i}", *base[::-1]])) for i in range(4000)]
+    index = decontaminate.Index(items)
+    n = len(items[0][1].split())
+    asked = index.prints[:512]
+    tracemalloc.start()
+    window, item = index.lookup(asked, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.bitwise_count(asked[:, None] ^ index.prints[None]) <= decontaminate.RADIUS
+    assert set(zip(window.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want))))
+    assert peak < 64 * 2**20 + 40 * len(window)
+
+
+def test_leaks_of_string_ids_and_a_very_long_text(spark):
+    item = items_long(60)
+    long = " ".join(f"q{i}" for i in range(300_000)) + " " + item
+    docs = spark.createDataFrame([("a", long, 1.0), ("b", "no leak here at all", 2.0)], "item_id string, text string, similarity double")
+    bench = spark.createDataFrame([("x-1", item), ("x-2", "z " * 30)], "item_id string, text string")
+    got = decontaminate.contaminated(docs, bench, id="item_id").collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in got] == [("a", "x-1", 1.0)]
+    assert [tuple(r) for r in decontaminate.clean(docs, bench).collect()] == [("b", "no leak here at all", 2.0)]
+
+
 def test_chat_round_trip(spark, sf):
     said = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "be"), (1, None, "assistant", None), (1, 2, None, "a \\"), (1, 2, None, "a \\"), (2, 0, "as:sis\ntant ### ", " </turn>\n"), (2, 1, "assistant", "x </turn>\n### user: y"), (None, 1, "assistant", "q")]
