@@ -1,5 +1,6 @@
 """Operators over whole tables against brute force."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -145,15 +146,37 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_holds_payloads_once(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", "y" * 2000) for i in range(20)], "page_id long, url string, html string")
-    warc.write_archives(warc.resolve(df), str(tmp_path / "w"))
-    import gzip
-
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    warc.write_archives(df, str(tmp_path / "w"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").rglob("*.gz"))
     assert data.count(b"y" * 2000) == 1
     kinds = [f[b"WARC-Type"] for f, _ in warc.parse(data)]
     assert sorted(kinds) == [b"response"] + [b"revisit"] * 19
 
 
+def test_warc_files_names_and_digests(spark, tmp_path, monkeypatch):
+    """Files hold few bytes, repeated pages have records of their own, a changed payload is found."""
+    monkeypatch.setattr(warc, "CLASSES", (2000, 8000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 16_000)
+    rows = [(i, "u", chr(97 + i % 20) * size) for i, size in enumerate([10] * 30 + [1500] * 30 + [5000] * 9 + [50_000] * 3)] + [(40, "u", "k" * 1500)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    out = warc.round_trip(df, folder=str(tmp_path / "w"))
+    assert sorted(r["page_id"] for r in out.collect()) == sorted(r[0] for r in rows)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").rglob("*.gz")]
+    assert max(len(list(warc.parse(f))) for f in files) <= 8
+    assert all(sum(len(b) for _, b in warc.parse(f)) < 20_000 or len(list(warc.parse(f))) == 1 for f in files)
+    heads = [f for data in files for f, _ in warc.parse(data)]
+    names = [f[b"WARC-Record-ID"] for f in heads]
+    assert len(set(names)) == len(rows)
+    assert {f[b"WARC-Refers-To"] for f in heads if b"WARC-Refers-To" in f} <= set(names)
+    some = next(p for p in (tmp_path / "w").rglob("*.gz") if b"a" * 50_000 in gzip.decompress(p.read_bytes()) or b"j" * 50_000 in gzip.decompress(p.read_bytes()))
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    raw = gzip.decompress(some.read_bytes())
+    (broken / "x.txt.gz").write_bytes(gzip.compress(raw[:-10] + b"#" + raw[-9:]))
+    with pytest.raises(Exception, match="another digest"):
+        warc.read_archives(spark, str(broken)).collect()
+
+
 def words(tag, n):
     return " ".join(f"{tag}{i}" for i in range(n))
 
