@@ -400,24 +400,3 @@ def test_a_hash_collision_removes_nothing():
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
     out = pa.Table.from_batches(line_dedup._match_batches(iter([batch]))).to_pylist()
     assert [(r["doc_id"], r["start"], r["stop"]) for r in out] == [(3, 4, 6), (4, 4, 5)]
-
-
-@pytest.mark.parametrize("stage", range(5))
-def test_stages_take_their_own_output(spark, sf, stage):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.STAGES[stage][1](spark, docs, sf)
-    if stage < 4:
-        assert out.columns == docs.columns
-    assert 0 < out.count() <= docs.count()
-    assert corpus_pipeline.STAGES[stage][1](spark, docs.limit(0), sf).count() == 0
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near duplicates", "decontamination", "byte-level BPE"]
-    out = corpus_pipeline.run(spark, sf)
-    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
-    assert out.count() == out.select("doc_id").distinct().count() > 50
