@@ -27,7 +27,7 @@ MIN_WORDS, WINDOW = 50, 2
 #: A third of the words of the shortest passage that goes.
 LONG_LINE = -(-MIN_WORDS // 3)
 #: Places of a chunk that one task compares; more are salted.
-GROUP = 1000
+GROUP = 250
 _BASE, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
