@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix_keys, tokens
+from ..sources.storage import new_folder, stored
 
 #: route: (weight, postings read for a key)
 ROUTES = {"name": (5.0, None), "prefix": (3.5, 40), "trigram": (2.5, 30), "token": (2.5, 35), "postal": (4.0, 30), "addrnum": (2.5, 25)}
@@ -92,6 +93,25 @@ def hubs(targets: DataFrame, column: str = "clean_address", least: int = HUB) ->
     return targets.where(F.col(column) != "").groupBy("country", column).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def first_rows(df: DataFrame, group: str, order: str, n: int, bins: int = 4096) -> DataFrame:
+    """The first n rows of each group by a whole number, without sorting a group in one task.
+
+    A histogram of bins of equal width tells which are whole among the first n; rows are ranked in
+    the one bin that the n-th row is in. Groups are few (sources): a row of counts for each and bin
+    is broadcast. Ties at the n-th place are broken by all columns.
+    """
+    df = stored(df, new_folder(df.sparkSession, "first"))
+    span = df.groupBy(group).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    binned = df.join(F.broadcast(span), group).withColumn("_bin", F.floor((F.col(order) - F.col("_low")).cast("double") * bins / (F.col("_high") - F.col("_low") + 1)))
+    counts = binned.groupBy(group, "_bin").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(group).orderBy("_bin"))).where(F.col("_upto") - F.col("_n") < n)
+    marked = binned.join(F.broadcast(upto), [group, "_bin"])
+    whole, edge = marked.where(F.col("_upto") <= n), marked.where(F.col("_upto") > n)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order, *(c for c in df.columns if c != order)))
+    edge = edge.withColumn("_place", place).where(F.col("_place") <= n - F.col("_upto") + F.col("_n"))
+    return whole.select(*df.columns).union(edge.select(*df.columns))
+
+
 def competitors(s1: DataFrame, targets: DataFrame, needed: DataFrame, cap: int) -> DataFrame:
     """Targets that aren't needed but share a postal code or a prefix key with a record, the first
     `cap` of each source by seq."""
@@ -100,12 +120,11 @@ def competitors(s1: DataFrame, targets: DataFrame, needed: DataFrame, cap: int)
     by_postal = targets.join(postal, "postal_code", "left_semi").select("entity_id", "seq", "bucket")
     by_key = targets.select("entity_id", "seq", "bucket", F.explode(prefix_keys(F.col("root_name"))).alias("key")).join(keys, "key", "left_semi").select("entity_id", "seq", "bucket")
     found = by_postal.union(by_key).distinct().join(needed.select(F.col("tid").alias("entity_id")), "entity_id", "left_anti")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("seq"))).where(F.col("place") <= cap).select("entity_id", "seq", "bucket")
+    return first_rows(found, "bucket", "seq", cap).select("entity_id", "seq", "bucket")
 
 
 def training_targets(targets: DataFrame, needed: DataFrame, distractors: int) -> DataFrame:
     """Needed targets, and the first `distractors` others of each source by seq."""
     own = targets.join(needed.select(F.col("tid").alias("entity_id")).distinct(), "entity_id", "left_semi")
     rest = targets.join(needed.select(F.col("tid").alias("entity_id")), "entity_id", "left_anti")
-    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("seq"))).where(F.col("place") <= distractors).drop("place")
-    return own.unionByName(rest)
+    return own.unionByName(first_rows(rest, "bucket", "seq", distractors))

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with numbers from 1 in the order of its partitions: a count per partition (sent to the
-    driver, one number each), then its rows' places plus the rows before."""
+    """df with numbers from 1 in the order of its partitions: a count per partition, then
+    its rows' places plus the rows before."""
     placed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    return placed.withColumn(name, F.col("_id") - F.shiftleft(F.col("_part"), 33) + offsets[F.col("_part")] + 1).drop("_id", "_part")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    # One row for each partition, 16 bytes: small however many rows there are.
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_id") - F.shiftleft(F.col("_part"), 33) + F.col("_before") + 1).drop("_id", "_part", "_before")

@@ -7,30 +7,48 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import blocking, evaluation, features, models, policies
+from ..sources.storage import new_folder, stored
 
 
-def sides(records: DataFrame, other_scripts: bool = True) -> tuple[DataFrame, DataFrame]:
+def normalized(records: DataFrame, other_scripts: bool = True) -> DataFrame:
+    """Normalized records, written once to the shared folder: all that follows reads them several
+    times, by the columns it needs."""
+    return stored(normalize(records, other_scripts), new_folder(records.sparkSession, "normalized"))
+
+
+def parted(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalized records of source 1, and of the others."""
-    n = normalize(records, other_scripts)
     return n.where("bucket = 1"), n.where("bucket > 1")
 
 
+def sides(records: DataFrame, other_scripts: bool = True) -> tuple[DataFrame, DataFrame]:
+    return parted(normalized(records, other_scripts))
+
+
 def blocked(records: DataFrame, other_scripts: bool = True, routes: tuple[str, ...] = tuple(blocking.ROUTES), max_candidates: int = blocking.MAX_CANDIDATES) -> DataFrame:
     s1, targets = sides(records, other_scripts)
     return blocking.candidates(s1, targets, routes, max_candidates)
 
 
-def scored_by_rule(records: DataFrame, max_candidates: int = blocking.MAX_CANDIDATES) -> DataFrame:
-    """Candidates with a probability that only depends on the retrieval score: for policies
-    without a trained model. (s1_id, tid, tseq, sseq, country, prob)"""
-    pairs = blocked(records, max_candidates=max_candidates)
-    own = records.where("bucket = 1").select(F.col("entity_id").alias("s1_id"), F.col("seq").alias("sseq"), "country")
+def ruled(s1: DataFrame, targets: DataFrame, max_candidates: int = blocking.MAX_CANDIDATES) -> DataFrame:
+    """Candidates of normalized records with a probability that only depends on the retrieval
+    score: for policies without a trained model. (s1_id, tid, tseq, sseq, country, prob)"""
+    pairs = blocking.candidates(s1, targets, max_candidates=max_candidates)
+    own = s1.select(F.col("entity_id").alias("s1_id"), F.col("seq").alias("sseq"), "country")
     return pairs.join(own, "s1_id").select("s1_id", "tid", "tseq", "sseq", "country", (F.col("score") / (F.col("score") + 5.0)).alias("prob"))
 
 
+def scored_by_rule(records: DataFrame, max_candidates: int = blocking.MAX_CANDIDATES) -> DataFrame:
+    return ruled(*sides(records), max_candidates)
+
+
 def featured(records: DataFrame, other_scripts: bool = True) -> DataFrame:
     """Candidate pairs with base features, hubs included, and both records' order and country."""
-    s1, targets = sides(records, other_scripts)
+    return compared(*sides(records, other_scripts))
+
+
+def compared(s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """featured() of normalized records."""
     pairs = blocking.candidates(s1, targets)
     both = features.with_records(pairs, s1, targets)
     own = s1.select(F.col("entity_id").alias("s1_id"), F.col("seq").alias("sseq"), "country")
@@ -56,7 +74,7 @@ def matches(records: DataFrame, ensemble: models.Ensemble | None = None) -> Data
     each target."""
     if ensemble is None:
         s1, targets = sides(records)
-        return decided(features.with_records(scored_by_rule(records), s1, targets))
+        return decided(features.with_records(ruled(s1, targets), s1, targets))
     return decided(ensemble.predict(featured(records)))
 
 

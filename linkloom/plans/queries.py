@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..operators import audit, blocking, clusters, evaluation, features, models, policies, ranking, validation
 from ..sources import files
-from ..sources.storage import new_folder
+from ..sources.storage import new_folder, stored
 from ..sources.tables import entities, table, truth_pairs
 from ..streaming.matching import match_stream
 from . import matching
@@ -34,6 +34,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return matching.sides(entities(spark, sf_dir))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.normalized(entities(spark, sf_dir))
+
+
 def _joined(c: str):  # noqa: ANN202
     return F.array_join(c, ",").alias(c)
 
@@ -126,8 +130,8 @@ def hub_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark, sf_dir)
-    return models.labelled(matching.blocked(e), truth_pairs(e)).select("s1_id", "tid", "label")
+    n = _records(spark, sf_dir)
+    return models.labelled(blocking.candidates(*matching.parted(n)), truth_pairs(n)).select("s1_id", "tid", "label")
 
 
 @query
@@ -138,8 +142,8 @@ def needed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, targets = _sides(spark, sf_dir)
-    return blocking.competitors(s1, targets, truth_pairs(entities(spark, sf_dir)), 100).select("entity_id", "seq")
+    n = _records(spark, sf_dir)
+    return blocking.competitors(*matching.parted(n), truth_pairs(n), 100).select("entity_id", "seq")
 
 
 @query
@@ -152,8 +156,8 @@ def needed_targets_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hard_negatives_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hard_negatives with the reference's number of competitors a source."""
-    s1, targets = _sides(spark, sf_dir)
-    return blocking.competitors(s1, targets, truth_pairs(entities(spark, sf_dir)), blocking.COMPETITORS).select("entity_id", "seq")
+    n = _records(spark, sf_dir)
+    return blocking.competitors(*matching.parted(n), truth_pairs(n), blocking.COMPETITORS).select("entity_id", "seq")
 
 
 @query
@@ -222,7 +226,7 @@ def features_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical ranks alone are fused; a probability by rule stands for the dense similarity."""
     s1, targets = _sides(spark, sf_dir)
-    cands = blocking.candidates(s1, targets)
+    cands = stored(blocking.candidates(s1, targets), new_folder(spark, "candidates"))
     fused = ranking.rrf([cands]).select("s1_id", "tid", "rrf_score").join(cands.select("s1_id", "tid", (F.col("score") / (F.col("score") + 5.0)).alias("dense_sim")), ["s1_id", "tid"])
     return features.meta_features(features.with_records(fused, s1, targets)).select("s1_id", "tid", *features.META)
 
@@ -233,7 +237,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.scored_by_rule(entities(spark, sf_dir))
+    return matching.ruled(*_sides(spark, sf_dir))
 
 
 @query
@@ -268,13 +272,13 @@ def policy_arbiter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, targets = _sides(spark, sf_dir)
-    return features.with_records(policies.main(_scored(spark, sf_dir)), s1, targets)
+    return features.with_records(policies.main(matching.ruled(s1, targets)), s1, targets)
 
 
 @query
 def policy_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, targets = _sides(spark, sf_dir)
-    return policies.hybrid(features.with_records(_scored(spark, sf_dir), s1, targets)).select("s1_id", "tid")
+    return policies.hybrid(features.with_records(matching.ruled(s1, targets), s1, targets)).select("s1_id", "tid")
 
 
 @query
@@ -287,9 +291,13 @@ def exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.exclusive(_scored(spark, sf_dir)).select("s1_id", "tid")
 
 
+def _ids(n: DataFrame) -> DataFrame:
+    return n.where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
+
+
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark, sf_dir)
-    return evaluation.per_record(e.where("bucket = 1").select(F.col("entity_id").alias("s1_id")), truth_pairs(e), policies.main(_scored(spark, sf_dir)))
+    n = _records(spark, sf_dir)
+    return evaluation.per_record(_ids(n), truth_pairs(n), policies.main(matching.ruled(*matching.parted(n))))
 
 
 @query
@@ -309,33 +317,33 @@ def singleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.cap_hits(_evaluated(spark, sf_dir), _scored(spark, sf_dir))
+    n = _records(spark, sf_dir)
+    scored = stored(matching.ruled(*matching.parted(n)), new_folder(spark, "scored"))
+    return evaluation.cap_hits(evaluation.per_record(_ids(n), truth_pairs(n), policies.main(scored)), scored)
 
 
 @query
 def segment_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark, sf_dir)
-    named = e.select(F.col("entity_id").alias("tid"), "country", text.has_indic(F.col("business_name")).alias("indic"))
-    scored = _scored(spark, sf_dir)
-    return evaluation.segment_recall(truth_pairs(e).join(named, "tid"), scored, policies.main(scored))
-
-
-def _grid(spark: SparkSession, sf_dir: str, kept: DataFrame) -> DataFrame:
-    e = entities(spark, sf_dir)
-    return evaluation.grid_scores(e.where("bucket = 1").select(F.col("entity_id").alias("s1_id")), truth_pairs(e), kept)
+    n = _records(spark, sf_dir)
+    named = n.select(F.col("entity_id").alias("tid"), "country", text.has_indic(F.col("business_name")).alias("indic"))
+    scored = stored(matching.ruled(*matching.parted(n)), new_folder(spark, "scored"))
+    return evaluation.segment_recall(truth_pairs(n).join(named, "tid"), scored, policies.main(scored))
 
 
 @query
 def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    by = {"segment": evaluation.segment_grid(scored), "rank": evaluation.rank_grid(scored)}
-    a, b = (_grid(spark, sf_dir, kept).select(F.lit(name).alias("grid"), F.col("idx").cast("long").alias("idx"), "macro_f05", "avg_links", "empty") for name, kept in by.items())
-    return a.union(b)
+    """Both grids over one table of scores."""
+    n = _records(spark, sf_dir)
+    scored = stored(matching.ruled(*matching.parted(n)), new_folder(spark, "scored"))
+    kept = evaluation.segment_grid(scored).withColumn("grid", F.lit("segment")).unionByName(evaluation.rank_grid(scored).withColumn("grid", F.lit("rank")))
+    found = evaluation.grid_scores(_ids(n), truth_pairs(n), kept, ["grid", "idx"])
+    return found.select("grid", F.col("idx").cast("long").alias("idx"), "macro_f05", "avg_links", "empty")
 
 
 @query
 def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, sf_dir, evaluation.threshold_grid(_scored(spark, sf_dir))).withColumn("idx", F.col("idx").cast("long"))
+    n = _records(spark, sf_dir)
+    return evaluation.grid_scores(_ids(n), truth_pairs(n), evaluation.threshold_grid(matching.ruled(*matching.parted(n)))).withColumn("idx", F.col("idx").cast("long"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +358,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [matching.blocked(entities(spark, sf_dir)), matching.blocked(entities(spark, sf_dir), routes=blocking.LEXICAL)]
+    s1, targets = _sides(spark, sf_dir)
+    lists = [blocking.candidates(s1, targets), blocking.candidates(s1, targets, blocking.LEXICAL)]
     return ranking.rrf(lists, limit=20).select("s1_id", "tid", F.round("rrf_score", 6).alias("rrf_score"))
 
 
@@ -375,14 +384,24 @@ def link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(policies.main(_scored(spark, sf_dir)).select(F.col("s1_id").alias("a"), F.col("tid").alias("b")))
 
 
+def _cut(n: DataFrame) -> int:
+    """The place in the order of arrival up to which records are learned from."""
+    return n.where("bucket = 1").agg(F.expr("percentile(seq, 0.75)").cast("long")).first()[0]
+
+
+@query
+def validation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that train_ensemble scores, with their labels."""
+    n = _records(spark, sf_dir)
+    own = _ids(n.where(F.col("seq") > _cut(n)))
+    return models.labelled(blocking.candidates(*matching.parted(n)).join(own, "s1_id", "left_semi"), truth_pairs(n)).select("s1_id", "tid", "label")
+
+
 def _trained(spark: SparkSession, sf_dir: str, rounds: int, trees: int) -> tuple[models.Ensemble, DataFrame, DataFrame]:
     """An ensemble of the records up to three quarters of the ids, the others' scores, all pairs."""
-    e = entities(spark, sf_dir)
-    cut = e.where("bucket = 1").agg(F.expr("percentile(seq, 0.75)").cast("long")).first()[0]
-    folder = new_folder(spark, "pairs")
-    matching.featured(e).write.parquet(folder)
-    pairs = spark.read.parquet(folder)
-    return *matching.train(pairs, truth_pairs(e), cut, rounds, trees), pairs
+    n = _records(spark, sf_dir)
+    pairs = stored(matching.compared(*matching.parted(n)), new_folder(spark, "pairs"))
+    return *matching.train(pairs, truth_pairs(n), _cut(n), rounds, trees), pairs
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import normalize
 from ..operators import blocking
+from ..sources.storage import new_folder, stored
 
 
 def match_stream(stream: DataFrame, targets: DataFrame, out: str, checkpoint: str, other_scripts: bool = True, available_now: bool = True) -> StreamingQuery:
@@ -18,7 +19,7 @@ def match_stream(stream: DataFrame, targets: DataFrame, out: str, checkpoint: st
 
     A batch that is run again after a failure replaces its own folder, so no pair comes twice.
     """
-    posted = blocking.postings(targets).persist()
+    posted = stored(blocking.postings(targets), new_folder(stream.sparkSession, "postings"))
 
     def batch(rows: DataFrame, number: int) -> None:
         blocking.candidates(normalize(rows, other_scripts), targets, posted=posted).write.mode("overwrite").parquet(f"{out}/batch={number}")
