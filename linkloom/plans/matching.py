@@ -56,7 +56,7 @@ def compared(s1: DataFrame, targets: DataFrame) -> DataFrame:
     return features.base_features(both, blocking.hubs(targets))
 
 
-def train(pairs: DataFrame, truth: DataFrame, cut: int, rounds: int = 20, trees: int = 20) -> tuple[models.Ensemble, DataFrame]:
+def train(pairs: DataFrame, truth: DataFrame, cut: int, rounds: int = 200, trees: int = 200) -> tuple[models.Ensemble, DataFrame]:
     """An ensemble fitted on records up to `cut` and calibrated on the rest; the rest, scored."""
     known = models.labelled(pairs, truth)
     fit, validation = models.split(known, cut)

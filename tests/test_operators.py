@@ -224,6 +224,32 @@ def test_hub_feature_and_training(spark, sf, tmp_path):
     pairs.unpersist()
 
 
+def test_trees_learn_and_score_alike():
+    """Held-out accuracy on a rule of two features; a slow walk through the trees scores the same."""
+    import numpy as np
+
+    from linkloom.operators import boosting
+
+    rng = np.random.default_rng(1)
+    x = rng.random((4, 4000))
+    y = ((x[0] > 0.5) ^ (x[2] > 0.3)).astype(float)
+    edges = boosting.edges_of(x[:, :3000])
+    bins = boosting.binned(x, edges)
+    base, boosted = boosting.boost(bins[:, :3000], y[:3000], 60, 4)
+    bagged = boosting.forest(bins[:, :3000], y[:3000], 60, 6, 1)
+    for p in (base + boosted.total(bins[:, 3000:]) > 0, bagged.total(bins[:, 3000:]) > 0.5):
+        assert (p == y[3000:]).mean() > 0.95
+    for i in (3000, 3999):
+        total = 0.0
+        for f, a, v in zip(boosted.feature, boosted.above, boosted.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if (np.sum(edges[f[node]] < x[f[node], i]) > a[node]) else 1)
+            total += v[node - len(f)]
+        assert total == pytest.approx(boosted.total(bins[:, i : i + 1])[0])
+    assert boosted.total(bins[:, :0]).shape == (0,)
+
+
 def test_blend(spark):
     df = spark.createDataFrame([("a", 0.4, 3.0), ("b", 0.4, -3.0)], "tid string, prob double, rerank_score double")
     got = {r["tid"]: r["prob"] for r in models.blend(df).collect()}
