@@ -44,12 +44,26 @@ def _latin() -> dict[str, str]:
     return out
 
 
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Forms that compatibility decomposition turns into ASCII: of one character, and of several."""
+    one, several = {}, {}
+    for c in map(chr, [0xA0, 0xAA, 0xB2, 0xB3, 0xB9, 0xBA, *range(0x2000, 0x2150), *range(0x2150, 0x218A), *range(0x2460, 0x24EB), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]):
+        plain = unicodedata.normalize("NFKD", c)
+        if plain != c and plain.isascii():
+            (one if len(plain) == 1 else several)[c] = plain
+    return one, several
+
+
 _LATIN = _latin()
+_ONE, _SEVERAL = _compatible()
+_LATIN |= _ONE
+#: Ligatures of the alphabetic forms; rarer forms of several characters are left to transliterate().
+_COMPATIBLE = {c: x for c, x in _SEVERAL.items() if 0xFB00 <= ord(c) <= 0xFB06}
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without accents; ligatures spelled out."""
-    for a, b in _LONG.items():
+    """Latin letters without accents; ligatures and compatibility forms spelled out."""
+    for a, b in (_LONG | _COMPATIBLE).items():
         c = F.replace(c, F.lit(a), F.lit(b))
     # Combining marks that stand by themselves go too.
     return F.regexp_replace(F.translate(c, "".join(_LATIN), "".join(_LATIN.values())), r"[\x{0300}-\x{036F}]+", "")
@@ -121,13 +135,14 @@ def transliterate(c: pd.Series) -> pd.Series:
 
 
 def _script(text: str | None) -> str:
-    found = {unicodedata.name(c, "").split(" ")[0] for c in text or "" if c.isalpha()} - {""}
+    found = {unicodedata.name(c, f"UNNAMED_U+{ord(c):04X}").split(" ")[0] for c in text or "" if c.isalpha()}
     return "+".join(sorted(found)) or "None"
 
 
 @F.pandas_udf(StringType())
 def script_group(c: pd.Series) -> pd.Series:
-    """First words of the letters' Unicode names, sorted and joined."""
+    """First words of the letters' Unicode names, sorted and joined; a letter without a name is
+    UNNAMED_ and its number."""
     return c.map(_script)
 
 
@@ -201,6 +216,17 @@ def prefix_keys(root: Column) -> Column:
     return F.array_distinct(F.when(n >= 3, F.concat(two, three)).when(n == 2, two).when(n == 1, F.coalesce(one, none)).otherwise(none))
 
 
+def entity_text() -> Column:
+    """A raw record as a text for an encoder."""
+    part = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return F.concat(F.lit("business: "), part("business_name"), F.lit(" | address: "), part("business_address"), F.lit(" | country: "), part("country"))
+
+
+def pipe_text() -> Column:
+    """A normalized record as a text for an encoder."""
+    return F.concat_ws(" | ", "clean_name", "clean_address", "country")
+
+
 def normalize(records: DataFrame, other_scripts: bool = True) -> DataFrame:
     """records (entity_id, business_name, business_address, country, ...) with the normalized
     columns. other_scripts=False spares the UDF where all letters are Latin."""

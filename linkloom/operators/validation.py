@@ -18,6 +18,20 @@ def check_header(first: str | None, expected: tuple[str, str]) -> str | None:
     return None if found == expected else f"unexpected header {list(found)}, expected {list(expected)}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def check_file(spark: SparkSession, path: str, expected: tuple[str, str]) -> str | None:
+    """What keeps a file from being read as id lists, or None."""
+    if not exists(spark, path):
+        return f"file not found: {path}"
+    first = spark.read.text(path).limit(1).collect()
+    fault = check_header(first[0][0] if first else None, expected)
+    return f"{path}: {fault}" if fault else None
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) after the header. Line numbers need the file's order: one numbering per
     input file, made from the places of its partitions."""

@@ -295,3 +295,93 @@ def test_transliteration_leaves_the_tables_as_they_are(spark):
     e = entities(spark, "/root/testdata/sf0.01").select("entity_id", "business_name", "business_address", "country")
     a, b = (normalize(e, x).select("entity_id", "clean_name", "clean_address") for x in (True, False))
     assert a.exceptAll(b).count() == 0
+
+
+def test_dense_topk_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (150, 6)).astype(float)  # many equal and opposite ones, and zeros
+    parts = rng.integers(0, 3, 150).tolist()
+    df = spark.createDataFrame([(i, parts[i], vectors[i].tolist()) for i in range(150)], "id long, part int, embedding array<double>")
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    for block, rows in ((16_384, 256), (20, 7)):
+        monkeypatch.setattr(ranking, "BLOCK", block)
+        monkeypatch.setattr(ranking, "ROWS", rows)
+        got = ranking.dense_topk(df.where("id % 5 = 0"), df, 4, least=0.1).collect()
+        want = set()
+        for i in range(0, 150, 5):
+            sims = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in range(150) if parts[j] == parts[i])
+            want |= {(i, j, r + 1) for r, (s, j) in enumerate(sims[:4]) if -s >= 0.1}
+        assert {(r["s1_id"], r["tid"], r["rank"]) for r in got} == want
+    assert ranking.dense_topk(df.limit(0), df).count() == 0
+
+
+def test_embeddings_are_cached_by_text(spark, tmp_path):
+    import numpy as np
+
+    log = str(tmp_path / "log")
+
+    def encode(texts):
+        with open(log, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return np.array([[len(t), t.count("a")] for t in texts])
+
+    df = spark.createDataFrame([(1, 0, "aa"), (2, 0, "aa"), (3, 1, "b"), (4, 1, None)], "id long, part int, text string")
+    for rows in (df.where("id < 3"), df, df):
+        got = {r["id"]: r["embedding"] for r in ranking.embedded(rows, encode, "m", str(tmp_path / "cache")).collect()}
+    assert got == {1: [2, 2], 2: [2, 2], 3: [1, 0], 4: [0, 0]}
+    assert sorted(open(log).read().split("\n")) == ["", "", "aa", "b"]
+    assert {r["embedding"][0] for r in ranking.embedded(df, encode, "m").collect()} == {0, 1, 2}
+
+
+def test_encoder_texts(spark):
+    from linkloom.functions import text
+
+    df = spark.createDataFrame([(" Acme ", None, "US")], "business_name string, business_address string, country string")
+    assert df.select(text.entity_text()).first()[0] == "business: Acme | address:  | country: US"
+    assert records(spark, [("S1-1", "Ácme", "1 Rd", "US", 1, 1)]).select(text.pipe_text()).first()[0] == "acme | 1 rd | US"
+
+
+def test_compatibility_forms_and_unnamed_letters(spark):
+    from linkloom.functions import text
+
+    df = spark.createDataFrame([("ﬁne ＡＢ x² ①",), ("鿿\U0003134a",)], "v string")
+    assert df.select(text.clean(F.col("v"))).first()[0] == "fine ab x2 1"
+    assert df.select(text.script_group("v")).collect()[1][0] == "CJK"
+
+
+def test_first_rows(spark):
+    rows = [(b, s) for b in (2, 3) for s in [1, 5, 5, 5, 9, 1000, 10**9, 10**9 + 1] * (b - 1)]
+    df = spark.createDataFrame([(b, s, i) for i, (b, s) in enumerate(rows)], "bucket int, seq long, x int")
+    for n in (1, 3, 7, 100):
+        got = sorted((r["bucket"], r["seq"]) for r in blocking.first_rows(df, "bucket", "seq", n, 8).collect())
+        assert got == sorted((b, s) for b in (2, 3) for s in sorted(s for c, s in rows if c == b)[:n])
+
+
+def test_validate_command(spark, tmp_path, capsys):
+    from linkloom import validate
+
+    for i, ids in ((1, ["S1-1", "S1-2"]), (2, ["S2-1"]), (3, ["S3-1"])):
+        (tmp_path / f"{i}.tsv").write_text("entity_id\tbusiness_name\n" + "".join(f"{x}\tn\n" for x in ids))
+    sources = [str(tmp_path / f"{i}.tsv") for i in (1, 2, 3)]
+    good, bad, cands = (str(tmp_path / n) for n in ("good.tsv", "bad.tsv", "cands.tsv"))
+    open(good, "w").write("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n")
+    open(bad, "w").write("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-7\n")
+    open(cands, "w").write("source1_entity_id\tcandidate_entity_ids\nS1-1\tS3-1\nS1-2\t\n")
+    assert validate.run(spark, good, sources) == 0
+    assert validate.run(spark, good, sources, cands) == 0 and "WARNING: match_not_candidate" in capsys.readouterr().out
+    assert validate.run(spark, bad, sources) == 1
+    assert validate.run(spark, str(tmp_path / "none.tsv"), sources) == 1 and "file not found" in capsys.readouterr().out
+
+
+def test_emission_and_json(spark, tmp_path):
+    import json
+
+    s1 = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "s1_id string")
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "s1_id string, tid string")
+    row = evaluation.emission(s1, pairs, pairs.limit(1)).first().asDict()
+    assert row == {"entities": 4, "candidates": 3, "matches": 1, "avg_candidates": 0.75, "avg_matches": 0.25}
+    assert evaluation.emission(s1.limit(0), pairs.limit(0), pairs.limit(0)).first()["avg_matches"] == 0.0
+    files.write_json(spark, {"é": [1]}, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"é": [1]}
