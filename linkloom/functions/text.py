@@ -34,6 +34,15 @@ _LONG = {"œ": "oe", "Œ": "OE", "ß": "ss", "æ": "ae", "Æ": "AE", "þ": "th",
 _SINGLE = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ı": "i", "ħ": "h", "Ħ": "H"}
 
 
+# Sounds of Cyrillic and Greek letters by their Unicode names, where these differ.
+_SOUNDS = {
+    "BE": "b", "VE": "v", "GHE": "g", "DE": "d", "IE": "e", "IO": "e", "ZHE": "zh", "ZE": "z", "SHORT I": "i", "KA": "k", "EL": "l", "EM": "m", "EN": "n", "PE": "p", "ER": "r", "ES": "s", "TE": "t",
+    "EF": "f", "HA": "kh", "TSE": "ts", "CHE": "ch", "SHA": "sh", "SHCHA": "shch", "HARD SIGN": "", "YERU": "y", "SOFT SIGN": "", "BYELORUSSIAN-UKRAINIAN I": "i", "UKRAINIAN IE": "e",
+    "ALPHA": "a", "BETA": "v", "GAMMA": "g", "DELTA": "d", "EPSILON": "e", "ZETA": "z", "ETA": "i", "THETA": "th", "IOTA": "i", "KAPPA": "k", "LAMDA": "l", "MU": "m", "NU": "n", "XI": "x",
+    "OMICRON": "o", "PI": "p", "RHO": "r", "SIGMA": "s", "FINAL SIGMA": "s", "TAU": "t", "UPSILON": "y", "PHI": "f", "CHI": "kh", "PSI": "ps", "OMEGA": "o",
+}
+
+
 def _latin() -> dict[str, str]:
     """Latin letters with marks, and the letter that is left without them."""
     out = dict(_SINGLE)
@@ -85,7 +94,7 @@ def has_indic(c: Column) -> Column:
 
 
 def _romanize(text: str) -> str:
-    """ASCII for any text, from the characters' Unicode names.
+    """ASCII for any text, from the characters' Unicode names; Cyrillic and Greek by sound.
 
     In Indic scripts a consonant has an inherent a, which a vowel sign replaces and a virama or
     the word's end removes; doubled letters of the names (long vowels, retroflexes) count once.
@@ -122,7 +131,12 @@ def _romanize(text: str) -> str:
             out.append(str(digit))
         else:
             inherent = False
-            plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if x.isascii())
+            base = unicodedata.normalize("NFKD", ch)
+            plain = "".join(x for x in base if x.isascii())
+            script, _, letter = unicodedata.name(base[0], "").partition(" LETTER ")
+            if script.startswith(("CYRILLIC", "GREEK")) and letter in _SOUNDS:
+                out.append(_SOUNDS[letter])
+                continue
             plain = plain or _LONG.get(ch) or _SINGLE.get(ch) or (last.lower() if unicodedata.category(ch)[0] == "L" and last.isascii() and last.isalpha() else " " if unicodedata.category(ch)[0] in "PZ" else "")
             out.append(plain)
     return "".join(out)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import FIELDS, MEASURES, similarities
 from ..functions.text import tokens
 
+# The names of the features, in the order that models take them.
 BASE = (
     "name_sort", "name_set", "root_sort", "root_set", "root_partial", "root_ratio", "name_jw", "skeleton_jw", "len_diff", "len_ratio", "suf_match", "suf_conflict", "addr_set", "addr_sort", "addr_partial",
     "num_score", "first_num_match", "post_score", "shared_name_tokens", "shared_addr_tokens", "retrieval_score", "is_s2", "is_s3", "has_non_latin", "is_domiciliation_hub",
@@ -67,7 +68,8 @@ def native(hub: Column | None = None) -> dict[str, Column]:
     }
 
 
-def _measured(pairs: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame) -> DataFrame:
+    """pairs with the string similarities of their records' fields."""
     # One UDF call for all measures; the struct is made once, not for each field. The measures are
     # far dearer than rows are large, so pairs are dealt to all tasks, not by size. (By a hash of
     # the keys: an exchange by the keys themselves may be taken for one that was merged by size.)
@@ -81,7 +83,7 @@ def base_features(pairs: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
 
     hubs: (country, clean_address) that many records share; pairs then need r_country.
     """
-    out = _measured(pairs)
+    out = measured(pairs)
     out = out.withColumn("retrieval_score", F.col("score") if "score" in pairs.columns else F.lit(1.0))
     hub = None
     if hubs is not None:
@@ -93,7 +95,7 @@ def base_features(pairs: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
 
 def meta_features(pairs: DataFrame) -> DataFrame:
     """Pairs with records, rrf_score and dense_sim, plus the 25 meta features (rrf comes twice)."""
-    out = _measured(pairs).withColumns(native())
+    out = measured(pairs).withColumns(native())
     numbers = (F.size("l_address_numbers") > 0) & (F.size("r_address_numbers") > 0)
     strict = numbers & ~F.arrays_overlap("l_address_numbers", "r_address_numbers") & (F.col("addr_set") > 0.65)
     return out.withColumns({"retrieval_score": F.col("rrf_score"), "dense_sim_cubed": F.pow("dense_sim", F.lit(3.0)), "num_conflict_strict": strict.cast("double")})

@@ -3,9 +3,20 @@ name route has none, policies are spelled out."""
 
 from __future__ import annotations
 
-from ..functions.text import ORDERED_SUFFIXES, SUFFIXES
-from ..operators.blocking import LEXICAL, ROUTES
-from ..operators.evaluation import RANK_GRID, SEGMENT_GRID, THRESHOLDS
+# Fixed values, written out here so that a wrong one in the operators shows.
+ROUTES = {"name": (5.0, None), "prefix": (3.5, 40), "trigram": (2.5, 30), "token": (2.5, 35), "postal": (4.0, 30), "addrnum": (2.5, 25)}
+LEXICAL = ("name", "prefix", "token", "postal", "addrnum")
+SEGMENT_GRID = [(us, other) for us in (0.60, 0.65, 0.70, 0.75) for other in (0.50, 0.55, 0.60, 0.65, 0.70)]
+RANK_GRID = [(least, ratio, keep) for least in (0.45, 0.50, 0.55, 0.60) for ratio in (0.60, 0.70, 0.80) for keep in (3, 5, 8, 15)]
+THRESHOLDS = [0.50 + 0.05 * i for i in range(8)]
+SUFFIXES = {
+    "private limited": "PVT_LTD", "pvt ltd": "PVT_LTD", "pvt limited": "PVT_LTD", "private ltd": "PVT_LTD", "praivet limited": "PVT_LTD",
+    "piraivet limitet": "PVT_LTD", "praivet limitet": "PVT_LTD", "pra li": "PVT_LTD", "pte ltd": "PVT_LTD", "prvt ltd": "PVT_LTD",
+    "limited": "LTD", "limitet": "LTD", "ltd": "LTD", "corporation": "CORP", "corp": "CORP", "incorporated": "INC", "inc": "INC",
+    "llc": "LLC", "l l c": "LLC", "llp": "LLP", "sarl": "SARL", "s a r l": "SARL", "sas": "SAS", "s a s": "SAS", "sasu": "SASU", "s a s u": "SASU",
+    "sci": "SCI", "s c i": "SCI", "sa": "SA", "s a": "SA", "eurl": "EURL", "snc": "SNC",
+}
+ORDERED_SUFFIXES = sorted(SUFFIXES, key=len, reverse=True)
 
 _words = "list_filter(string_split({}, ' '), lambda x: length(x) >= {})"
 
@@ -51,7 +62,7 @@ _KEYS = {
 }
 
 
-def blocked(routes: tuple[str, ...] = tuple(ROUTES), name: str = "c", base: str = NORMAL) -> str:
+def blocked(routes: tuple[str, ...] = tuple(ROUTES), name: str = "c", base: str = NORMAL, most: int = 20) -> str:
     union = " UNION ALL ".join(_KEYS[r] for r in routes)
     caps = " ".join(f"WHEN '{r}' THEN {ROUTES[r][1] or 10**9}" for r in routes)
     weights = " ".join(f"WHEN '{r}' THEN {ROUTES[r][0]}" for r in routes)
@@ -63,7 +74,7 @@ w_{name} AS (SELECT a.entity_id AS s1_id, t.entity_id AS tid, t.seq AS tseq, CAS
  FROM k_{name} a JOIN t_{name} t USING (country, route, key) LEFT JOIN df_{name} d ON route = 'token' AND d.country = a.country AND d.key = a.key
  WHERE a.entity_id LIKE 'S1-%' AND place <= CASE route {caps} END AND (df IS NULL OR df <= 1500)),
 a_{name} AS (SELECT s1_id, tid, tseq, CAST(sum(w) AS DOUBLE) AS score FROM w_{name} GROUP BY ALL),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tseq) AS rank FROM a_{name}) WHERE rank <= 20)"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tseq) AS rank FROM a_{name}) WHERE rank <= {most})"""
 
 
 BLOCKED = blocked()
@@ -243,3 +254,80 @@ ex AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY prob DESC, sseq) A
  ELSE CASE WHEN tid LIKE 'S3-%' THEN 0.75 ELSE 0.70 END END::DOUBLE)""",
     "SELECT s1_id, tid, prob FROM ex WHERE i = 1",
 )
+
+# Planted words in other scripts: what they become, and the scripts' names.
+_PLANTED = (("ram", "DEVANAGARI"), ("maturai", "TAMIL"), ("privet", "CYRILLIC"), ("omega", "GREEK"), ("punjab", "GURMUKHI"), ("lodz", "LATIN"), ("123", ""), ("fin", "LATIN"))
+ORACLE["norm_states"] = _with(NORMAL, "SELECT entity_id, trim(CASE country WHEN 'India' THEN 'maharashtra ' ELSE '' END || clean_address) AS clean_address FROM n1")
+ORACLE["norm_transliterate"] = _with(NORMAL, f"SELECT entity_id, trim([{', '.join(repr(w) for w, _ in _PLANTED)}][seq % 8 + 1] || ' ' || clean_name) AS clean_name FROM n1")
+_scripts = "SELECT g AS script_group, count(*) AS n FROM (SELECT coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter([{planted}, CASE WHEN regexp_matches(regexp_replace(business_name, '[ªº]', '', 'g'), '\\p{{Latin}}') THEN 'LATIN' ELSE '' END, CASE WHEN contains(business_name, 'ª') THEN 'FEMININE' ELSE '' END, CASE WHEN contains(business_name, 'º') THEN 'MASCULINE' ELSE '' END], lambda x: x <> ''))), '+'), ''), 'None') AS g FROM e) GROUP BY g"
+ORACLE["audit_script_group"] = _with(ENTITIES, _scripts.format(planted="''"))
+ORACLE["script_groups"] = _with(ENTITIES, _scripts.format(planted=f"[{', '.join(repr(s) for _, s in _PLANTED)}][seq % 8 + 1]"))
+ORACLE["link_clusters"] = _with(
+    SCORED.replace("WITH ", "", 1) + ", edges AS (SELECT s1_id AS a, tid AS b FROM mn UNION SELECT tid, s1_id FROM mn)",
+    "SELECT node, min(other) AS cluster FROM (WITH RECURSIVE reach(node, other) AS (SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other) SELECT * FROM reach) GROUP BY node",
+)
+ORACLE["validation_pairs"] = _with(BLOCKED, "SELECT c.s1_id, c.tid, CASE WHEN t.tid IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS label FROM c JOIN s1 ON s1.s1_id = c.s1_id LEFT JOIN truth t ON t.s1_id = c.s1_id AND t.tid = c.tid WHERE s1.seq > (SELECT floor(quantile_cont(seq, 0.75)) FROM s1)")
+ORACLE["emission_report"] = _with(
+    SCORED,
+    "SELECT n AS entities, nc AS candidates, nm AS matches, round(nc / n, 6) AS avg_candidates, round(nm / n, 6) AS avg_matches FROM (SELECT (SELECT count(*) FROM s1) AS n, (SELECT count(*) FROM sc) AS nc, (SELECT count(*) FROM mn) AS nm)",
+)
+ORACLE["features_native"] = _with(
+    f"{PAIRED}, hub AS (SELECT country, clean_name FROM n WHERE bucket > 1 AND clean_name <> '' GROUP BY ALL HAVING count(*) >= 20)",
+    f"""SELECT pr.s1_id, pr.tid, abs(length(l.root_name) - length(r.root_name))::DOUBLE AS len_diff, round(least(length(l.root_name), length(r.root_name))::DOUBLE / greatest(length(l.root_name), length(r.root_name), 1), 6) AS len_ratio,
+ {_b.format(c='length(l.legal_suffix) > 0 AND l.legal_suffix = r.legal_suffix')} AS suf_match, {_b.format(c='length(l.legal_suffix) > 0 AND length(r.legal_suffix) > 0 AND l.legal_suffix <> r.legal_suffix')} AS suf_conflict,
+ {_s.format(k=_both, c='list_has_any(l.address_numbers, r.address_numbers)')} AS num_score, {_s.format(k=_both, c='l.address_numbers[1] = r.address_numbers[1]')} AS first_num_match, {_s.format(k='l.postal_code IS NOT NULL AND r.postal_code IS NOT NULL', c='l.postal_code = r.postal_code')} AS post_score,
+ len(list_intersect(l.toks, r.toks))::DOUBLE AS shared_name_tokens, len(list_intersect(string_split(l.clean_address, ' '), string_split(r.clean_address, ' ')))::DOUBLE AS shared_addr_tokens, c.score AS retrieval_score,
+ {_b.format(c="pr.tid LIKE 'S2-%'")} AS is_s2, {_b.format(c="pr.tid LIKE 'S3-%'")} AS is_s3, {_b.format(c='l.is_non_latin OR r.is_non_latin')} AS has_non_latin, {_b.format(c='(l.country, r.clean_name) IN (SELECT (country, clean_name) FROM hub)')} AS is_domiciliation_hub
+FROM pr JOIN c ON c.s1_id = pr.s1_id AND c.tid = pr.tid""",
+)
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of names of up to 126 letters, a row of bits at a time."""
+    masks = f"list_transform(string_split({b}, ''), lambda ch: coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, CAST(i AS INT), 1) = ch THEN 1::HUGEINT << CAST(i - 1 AS INT) ELSE 0::HUGEINT END))::HUGEINT, 0::HUGEINT))"
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 2.0 * {_lcs(a, b)} / (length({a}) + length({b})) END::DOUBLE"
+
+
+def _sorted_tokens(c: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({c}, ' '), lambda x: x <> '')), ' ')"
+
+
+def _token_set(k: str) -> str:
+    common = f"CASE WHEN {k}_both = '' THEN 0.0 ELSE 2.0 * length({k}_both) / (length({k}_both) + length({{}})) END"
+    return f"CASE WHEN len({k}_x) = 0 OR len({k}_y) = 0 THEN 0.0 WHEN {k}_both <> '' AND ({k}_l = {k}_both OR {k}_r = {k}_both) THEN 1.0 ELSE greatest({_ratio(k + '_l', k + '_r')}, {common.format(k + '_l')}, {common.format(k + '_r')}) END::DOUBLE"
+
+
+def _tokens_of(k: str, c: str) -> str:
+    words = "list_distinct(list_filter(string_split({}, ' '), lambda x: x <> ''))"
+    return f"{words.format('l.' + c)} AS {k}_x, {words.format('r.' + c)} AS {k}_y, {_sorted_tokens('l.' + c)} AS {k}_sl, {_sorted_tokens('r.' + c)} AS {k}_sr"
+
+
+def _sides_of(k: str) -> str:
+    both = f"array_to_string(list_sort(list_intersect({k}_x, {k}_y)), ' ')"
+    rest = "concat_ws(' ', nullif({both}, ''), nullif(array_to_string(list_sort(list_filter({a}, lambda w: NOT list_contains({b}, w))), ' '), ''))"
+    return f"{both} AS {k}_both, {rest.format(both=both, a=k + '_x', b=k + '_y')} AS {k}_l, {rest.format(both=both, a=k + '_y', b=k + '_x')} AS {k}_r"
+
+
+ORACLE["features_ratios"] = _with(
+    f"""{PAIRED},
+q0 AS (SELECT s1_id, tid, l.root_name AS lr, r.root_name AS rr, l.skeleton AS ls, r.skeleton AS rs, {_tokens_of("n", "clean_name")}, {_tokens_of("o", "root_name")} FROM pr),
+q1 AS (SELECT *, {_sides_of("n")}, {_sides_of("o")} FROM q0)""",
+    f"""SELECT s1_id, tid, round({_ratio("n_sl", "n_sr")}, 6) AS name_sort, round({_token_set("n")}, 6) AS name_set, round({_ratio("o_sl", "o_sr")}, 6) AS root_sort, round({_token_set("o")}, 6) AS root_set, round({_ratio("lr", "rr")}, 6) AS root_ratio,
+ round(jaro_winkler_similarity(lr, rr), 6) AS name_jw, round(jaro_winkler_similarity(ls, rs), 6) AS skeleton_jw FROM q1""",
+)
+_unit = f"list_transform(embedding, lambda x: x::DOUBLE / {_norm.format(v='embedding')})"
+ORACLE["dense_search"] = f"""
+WITH v AS (SELECT vec_id, label, {_unit} AS u FROM embeddings)
+SELECT s1_id, tid, round(sim, 5) AS dense_sim, rank FROM (SELECT q.vec_id AS s1_id, t.vec_id AS tid, list_dot_product(q.u, t.u) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u, t.u) DESC, t.vec_id) AS rank FROM v q JOIN v t USING (label) WHERE q.vec_id % 50 = 0) WHERE rank <= 35"""
+ORACLE["hybrid_merge"] = _with(
+    f"""{blocked(LEXICAL, "d", NORMAL, 35)},
+vec AS (SELECT entity_id, country, bucket, {_unit} AS u FROM e JOIN embeddings ON vec_id = CAST(split_part(entity_id, '-', 2) AS BIGINT)),
+dn AS (SELECT * FROM (SELECT q.entity_id AS s1_id, t.entity_id AS tid, list_dot_product(q.u, t.u) AS sim, row_number() OVER (PARTITION BY q.entity_id ORDER BY list_dot_product(q.u, t.u) DESC, t.entity_id) AS rank FROM vec q JOIN vec t USING (country) WHERE q.bucket = 1 AND t.bucket > 1) WHERE rank <= 35),
+fu AS (SELECT s1_id, tid, sum(1.0::DOUBLE / (59 + rank)) AS s FROM (SELECT s1_id, tid, rank FROM d UNION ALL SELECT s1_id, tid, rank FROM dn) GROUP BY ALL)""",
+    "SELECT f.s1_id, f.tid, round(s, 6) AS rrf_score, coalesce(round(sim, 5), 0.0) AS dense_sim FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY s DESC, tid) AS i FROM fu) f LEFT JOIN dn ON dn.s1_id = f.s1_id AND dn.tid = f.tid WHERE i <= 35",
+)

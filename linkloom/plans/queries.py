@@ -99,6 +99,24 @@ def norm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).select("entity_id", text.clean(F.concat_ws(" ", native, "business_address"), other_scripts=True).alias("clean_address"))
 
 
+#: Words in other scripts that names begin with in norm_transliterate, by the order of arrival.
+PLANTED = ("राम", "மதுரை", "Привет", "Ωμέγα", "ਪੰਜਾਬ", "Łódź", "१२३", "ﬁn")
+
+
+@query
+def norm_transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's name after a word in another script, cleaned."""
+    word = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("seq") % len(PLANTED) + 1).cast("int"))
+    return entities(spark, sf_dir).select("entity_id", text.clean(F.concat_ws(" ", word, "business_name"), other_scripts=True).alias("clean_name"))
+
+
+@query
+def script_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by the scripts of such a name."""
+    word = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("seq") % len(PLANTED) + 1).cast("int"))
+    return audit.scripts(entities(spark, sf_dir).withColumn("business_name", F.concat_ws(" ", word, "business_name")))
+
+
 @query
 def prefix_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(spark, sf_dir).select("entity_id", F.array_join(F.array_sort(text.prefix_keys(F.col("root_name"))), ",").alias("keys"))
@@ -217,6 +235,25 @@ def feat_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("s1_id", "tid", F.round(similarity.jaro_winkler_column("l_root_name", "r_root_name"), 6).alias("name_jw"))
 
 
+@query
+def features_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base features that are no string similarities; names shared by 20 targets are hubs."""
+    n = _records(spark, sf_dir)
+    s1, targets = matching.parted(n)
+    both = features.with_records(blocking.candidates(s1, targets), s1, targets)
+    hubs = blocking.hubs(targets, "clean_name").select(F.col("clean_name").alias("r_clean_name"), F.col("country").alias("h_country"), F.lit(True).alias("h"))
+    country = s1.select(F.col("entity_id").alias("s1_id"), F.col("country").alias("h_country"))
+    out = both.join(country, "s1_id").join(hubs, ["h_country", "r_clean_name"], "left").withColumns(features.native(F.coalesce("h", F.lit(False))))
+    return out.withColumn("retrieval_score", F.col("score")).select("s1_id", "tid", *(F.round(c, 6).alias(c) for c in features.BASE if c not in similarity.MEASURES))
+
+
+@query
+def features_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The string similarities of names, from the one UDF that makes them all."""
+    got = features.measured(_pairs(spark, sf_dir))
+    return got.select("s1_id", "tid", *(F.round(c, 6).alias(c) for c in ("name_sort", "name_set", "root_sort", "root_set", "root_ratio", "name_jw", "skeleton_jw")))
+
+
 @query
 def features_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.featured(entities(spark, sf_dir)).select("s1_id", "tid", *features.BASE)
@@ -224,10 +261,9 @@ def features_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def features_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical ranks alone are fused; a probability by rule stands for the dense similarity."""
+    """Over the candidates of hybrid_merge."""
     s1, targets = _sides(spark, sf_dir)
-    cands = stored(blocking.candidates(s1, targets), new_folder(spark, "candidates"))
-    fused = ranking.rrf([cands]).select("s1_id", "tid", "rrf_score").join(cands.select("s1_id", "tid", (F.col("score") / (F.col("score") + 5.0)).alias("dense_sim")), ["s1_id", "tid"])
+    fused = _hybrid(spark, sf_dir, s1, targets)
     return features.meta_features(features.with_records(fused, s1, targets)).select("s1_id", "tid", *features.META)
 
 
@@ -346,6 +382,35 @@ def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.grid_scores(_ids(n), truth_pairs(n), evaluation.threshold_grid(matching.ruled(*matching.parted(n)))).withColumn("idx", F.col("idx").cast("long"))
 
 
+def _hybrid(spark: SparkSession, sf_dir: str, s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """Lexical and dense candidates of a country, fused; dense_sim is 0 for lexical ones alone.
+    Records have the vector of their document's number, if there is one."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vectors = [df.join(v, F.substring_index("entity_id", "-", -1).cast("long") == F.col("vec_id")).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), "embedding") for df in (s1, targets)]
+    dense = stored(ranking.dense_topk(*vectors), new_folder(spark, "dense"))
+    fused = ranking.rrf([blocking.candidates(s1, targets, blocking.LEXICAL, 35), dense])
+    return fused.drop("rank").join(dense.select("s1_id", "tid", "dense_sim"), ["s1_id", "tid"], "left").na.fill(0.0, ["dense_sim"])
+
+
+@query
+def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, *_sides(spark, sf_dir)).select("s1_id", "tid", F.round("rrf_score", 6).alias("rrf_score"), F.round("dense_sim", 5).alias("dense_sim"))
+
+
+@query
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 35 nearest of all vectors of a partition for those whose id is divisible by 50."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("part"), "embedding")
+    return ranking.dense_topk(v.where("id % 50 = 0"), v).select("s1_id", "tid", F.round("dense_sim", 5).alias("dense_sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def emission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _records(spark, sf_dir)
+    scored = stored(matching.ruled(*matching.parted(n)), new_folder(spark, "scored"))
+    return evaluation.emission(_ids(n), scored, policies.main(scored))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("part"), "embedding")
     return v.where("id % 2 = 0"), v.where("id % 2 = 1")

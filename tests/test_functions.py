@@ -33,7 +33,8 @@ def test_clean(spark):
 def test_transliterated_suffixes(spark):
     got = column(spark, ["प्राइवेट लिमिटेड", "பிரைவேட் லிமிடெட்", "महाराष्ट्र मुंबई १२", "Привет", "日本"], lambda c: text.clean(c, True))
     assert got[0] == "praivet limited" and got[1] == "piraivet limitet" and got[2].startswith("maharashtra ") and got[2].endswith("12")
-    assert all(s.isascii() for s in got)
+    assert all(s.isascii() for s in got) and got[3] == "privet"
+    assert column(spark, ["Ωμέγα Αθήνα", "Йод щёлочь", "Київ"], lambda c: text.clean(c, True)) == ["omega athina", "iod shcheloch", "kiiv"]
 
 
 def test_legal_suffix(spark):
