@@ -55,11 +55,12 @@ def test_the_stage_equals_brute_force(spark):
     assert simhash_golay.keep_one(df).count() > len(set(want.values()))
 
 
-def test_blocks_find_what_one_family_does(spark):
+def test_blocks_find_what_one_family_does(spark, monkeypatch):
     rows = corpus()
     want = brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (300, near_copies.BLOCK):
+    for block, family in ((300, 400), (near_copies.BLOCK, 400), (near_copies.BLOCK, 2), (300, 3)):
+        monkeypatch.setattr(near_copies, "FAMILY", family)
         got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df, block=block).collect()}
         assert got == want
 
