@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import drop, new_folder, stored
+from .skew import spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: (a, b) with a < b, of any type that has an order. In a round every node's greater
     neighbours are tied to its least one, then its smaller ones, so a large component's node has
-    few edges left after few rounds. Every round is written to the shared folder, which cuts the
-    lineage, and the round before is deleted; nothing goes to the driver but a count and a hash sum.
+    few edges left after few rounds. The star of a large component's least node is one key: its edges
+    are dealt to several tasks. Every round is written to the shared folder, which cuts the lineage,
+    and the round before is deleted; nothing goes to the driver but counts and a hash sum.
     """
     spark = edges.sparkSession
     folder, i = new_folder(spark, "components"), 0
@@ -22,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()  # b's star goes to m
+        large = spread_join(now, least, "a", "b").select(F.col("m").alias("a"), "b").distinct()  # b's star goes to m
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x <> y")
+        small = spread_join(large, least, "b", "a", now).select(F.col("m").alias("x"), F.col("a").alias("y")).where("x <> y")
         joined = small.union(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
         i += 1
         now = stored(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{folder}/{i}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import normalize
-from linkloom.operators import audit, blocking, clusters, evaluation, features, models, numbering, policies, ranking, validation
+from linkloom.operators import audit, blocking, clusters, evaluation, features, models, numbering, policies, ranking, skew, validation
 from linkloom.plans import matching, queries
 from linkloom.sources import files
 from linkloom.sources.tables import entities, truth_pairs
@@ -195,6 +195,28 @@ def test_numbering(spark):
     assert [r["n"] for r in numbering.numbered(df, "n").orderBy("id").collect()] == list(range(1, df.count() + 1))
 
 
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    rows = spark.createDataFrame([*((7, i) for i in range(50)), (1, 3), (2, 4), (None, 5), (9, 6)], "k int, v int")
+    ones = spark.createDataFrame([(7, "a"), (1, "b"), (8, "c"), (None, "d")], "k int, w string")
+    want = sorted(map(tuple, rows.join(ones, "k").collect()))
+    assert sorted(map(tuple, skew.spread_join(rows, ones, "k", "v").collect())) == want
+    monkeypatch.setattr(skew, "HOT", 4)
+    split = skew.spread_join(rows, ones, "k", "v")
+    assert split.columns == ["k", "v", "w"] and sorted(map(tuple, split.collect())) == want
+    assert skew.spread_join(rows.limit(0), ones, "k", "v").isEmpty()
+    assert [skew.share(n) for n in (0, 10**6, 10**10)] == [4, 10, 100_000]
+
+
+def test_components_split_a_star(spark, monkeypatch):
+    """Stars around the least and around the greatest node, one joined with a chain."""
+    star = [(0, i) for i in range(1, 60)] + [(i, 5000) for i in range(1000, 1060)] + [(i, i + 1) for i in range(59, 90)]
+    df = spark.createDataFrame(star, "a long, b long")
+    want = {(n, 0) for n in range(1, 91)} | {(n, 1000) for n in [*range(1001, 1060), 5000]}
+    for hot in (500, 3):
+        monkeypatch.setattr(skew, "HOT", hot)
+        assert {(r["node"], r["label"]) for r in clusters.components(df).collect()} == want
+
+
 def test_clusters(spark):
     links = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y")], "a string, b string")
     got = {r["node"]: r["cluster"] for r in clusters.clusters(links).collect()}
