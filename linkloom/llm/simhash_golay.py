@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import components
+from ..operators.skew import spread_join
 from .common import cut, slices, texts
 
 RADIUS = 3
@@ -243,11 +244,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id: str
     return chosen.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
-def _labelled(prints: DataFrame) -> DataFrame:
-    """(fp, rep, label) of every fingerprint: its least doc_id and its component."""
+def _labelled(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, rep, label) of every fingerprint, its least doc_id and its component; and (node, label)
+    of those that are linked."""
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     joined = components(links(reps.select("fp")))
-    return reps.join(joined, reps["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    return reps.join(joined, reps["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")), joined
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -260,16 +262,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", id: s
     read whole. Other columns are not carried.
     """
     prints = cut(fingerprints(docs, shingle, text, id))
-    labelled = _labelled(prints)
+    labelled, joined = _labelled(prints)
     names = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return prints.join(labelled.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return prints.join(spread_join(labelled, names, "label", "fp", joined).select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of docs for each component, with all its columns: that of the least (doc_id, text
     hash), null ids last. An id that stands on several texts is no link between them."""
     prints = cut(fingerprints(docs, shingle, text, id))
-    return keep_first(docs, prints.withColumnRenamed("fp", "node"), _labelled(prints).select(F.col("fp").alias("node"), "label"), text, id)
+    return keep_first(docs, prints.withColumnRenamed("fp", "node"), _labelled(prints)[0].select(F.col("fp").alias("node"), "label"), text, id)
 
 
 def keep_first(docs: DataFrame, rows: DataFrame, labels: DataFrame, text: str, id: str) -> DataFrame:

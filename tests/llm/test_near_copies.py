@@ -7,6 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from linkloom.llm import near_copies, simhash_golay
+from linkloom.operators import skew
 
 
 def grams(text, n=5):
@@ -65,6 +66,17 @@ def test_blocks_find_what_one_family_does(spark, monkeypatch):
         assert got == want
 
 
+def test_hot_keys_are_split_and_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 1)
+    rows = corpus()
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == want
+    plain = [tuple(r) for r in simhash_golay.near_duplicates(df).orderBy("doc_id").collect()]
+    monkeypatch.undo()
+    assert plain == [tuple(r) for r in simhash_golay.near_duplicates(df).orderBy("doc_id").collect()]
+
+
 def test_nulls_and_repeats(spark):
     nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "q r s t"), (1, "z"), (1, "z")], "doc_id long, text string")
     assert sorted(r["text"] for r in near_copies.keep_one(nulls).collect()) == ["a b c", "q r s t", "z"]
