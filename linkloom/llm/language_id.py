@@ -16,12 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, texts
+from .common import runs, slices, text_buffer, texts
 
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 #: Training takes at most so many documents of each language, and windows of each of them.
 SAMPLE, SAMPLE_WINDOWS, EPOCHS, MAX_LANGUAGES = 600, 4, 6, 200
 UNKNOWN = "und"
+#: Bytes of which windows are held at once, a multiple of WINDOW.
+PIECE = 1 << 20
 _letter = regex.compile(r"\p{L}").search
 
 
@@ -109,6 +111,21 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, doc, np.minimum(WINDOW, length[doc] - number * WINDOW)
 
 
+def document_means(net: Network, data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Each document's probabilities, the mean over its windows by their bytes; 0 for an empty one.
+    A document longer than `piece` bytes is cut where windows begin, so memory has a bound."""
+    length = np.diff(offsets)
+    count = -(-length // piece)
+    doc = np.repeat(np.arange(len(length)), count)
+    start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * piece
+    bounds = np.append(start, offsets[-1])  # pieces lie one after another
+    out = np.zeros((len(length), len(net.languages)))
+    for a, z in runs(bounds, piece):
+        windows, of, size = cut_windows(data[bounds[a] : bounds[z]], bounds[a : z + 1] - bounds[a])
+        np.add.at(out, doc[a:z][of], net.predict(windows) * size[:, None].astype(np.float64))
+    return out / np.maximum(length, 1)[:, None]
+
+
 def held_out(id: str = "doc_id"):  # noqa: ANN201
     return F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2
 
@@ -116,8 +133,8 @@ def held_out(id: str = "doc_id"):  # noqa: ANN201
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from documents with text and lang that aren't held out; None without any.
 
-    Of each language at most about `sample` documents are taken, those of least hash, and
-    SAMPLE_WINDOWS windows of each from places spread over its text. More than MAX_LANGUAGES
+    Of each language at most about `sample` rows are taken, those of least hash of id and text (equal
+    ones count once), and SAMPLE_WINDOWS windows of each from places spread over its text. More than MAX_LANGUAGES
     languages are an error. Null ids are never held out, nor are they learned from.
     """
     own = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & ~held_out()).where("lang is not null and text is not null")
@@ -129,7 +146,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000 < share
     pieces = F.concat_ws("", *(F.substring("text", F.lit(1) + (F.length("text") * i / SAMPLE_WINDOWS).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)))
     rows = own.where(spread).select("doc_id", "lang", pieces.alias("piece")).distinct().toPandas().sort_values(["lang", "doc_id", "piece"])
     net = Network(sorted(counts))
@@ -146,7 +163,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score of every row; `und` with score 0 where text is null or has no
-    letter (or nothing was learned). All windows of the whole text count."""
+    letter (or nothing was learned). All windows of the whole text count. Repeated rows and null
+    ids stay, an empty table gives an empty one; other columns, of whatever names, are not carried."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +174,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", id: str =
             strings = texts(b.column("text"))
             known = np.array([net is not None and _letter(s) is not None for s in strings], bool)
             if net is not None:
-                data, offsets = text_buffer(b.column("text"))
-                mean = np.zeros((len(strings), len(net.languages)))
-                for a in range(0, len(strings), 512):
-                    z = min(a + 512, len(strings))
-                    windows, doc, size = cut_windows(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-                    p = net.predict(windows) * size[:, None]
-                    for i in range(p.shape[1]):
-                        mean[a:z, i] = np.bincount(doc, weights=p[:, i], minlength=z - a)
-                mean /= np.maximum(np.diff(offsets), 1)[:, None]
+                mean = document_means(net, *text_buffer(b.column("text")))
                 best = mean.argmax(axis=1)
                 named = [net.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
                 score = np.where(known, np.clip(mean.max(axis=1), 0, 1), 0.0)

@@ -340,6 +340,61 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def slow_scores(net, data):
+    """The network byte by byte: the mean over a text's windows, by their bytes."""
+    p, total = net.p, np.zeros(len(net.languages))
+    for at in range(0, len(data), language_id.WINDOW):
+        window = data[at : at + language_id.WINDOW]
+        padded = window.ljust(language_id.WINDOW + max(language_id.WIDTHS), b"\0")
+        h = []
+        for f in range(p["c"].shape[1]):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            filt = p["c"][: width * language_id.EMBEDDING, f].reshape(width, -1)
+            z = max(float(sum(p["e"][padded[i + j]] @ filt[j] for j in range(width))) for i in range(language_id.WINDOW))
+            h.append(max(z + float(p["d"][f]), 0.0))
+        z = np.array(h) @ p["w"] + p["b"]
+        e = np.exp(z - z.max())
+        total += len(window) * e / e.sum()
+    return total / max(len(data), 1)
+
+
+def test_language_scores_equal_a_slow_network(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = language_id.train(df)
+    some = ["x", "straße", "é" * 300, *(r["text"][:700] for r in df.where("text is not null").orderBy("doc_id").limit(3).collect())]
+    rows = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.predict(rows, net).collect()}
+    for i, text in enumerate(some):
+        want = slow_scores(net, text.encode())
+        assert got[i]["lang_pred"] == net.languages[want.argmax()] and abs(got[i]["score"] - want.max()) < 1e-4
+    data, offsets = text_buffer(pa.array([*some, "", "ab " * 5000, some[-1]]))
+    whole = language_id.document_means(net, data, offsets)
+    assert np.allclose(whole, language_id.document_means(net, data, offsets, piece=512))
+    assert not whole[len(some)].any() and np.allclose(whole[-1], whole[-3 - 1])
+
+
+def test_language_rows_of_any_kind(spark):
+    """Clashing names, repeated rows, string ids, an empty table, a very long text."""
+    net = language_id.Network(["de", "en"])
+    rows = [("a", "das ist", 1, "p"), ("a", "das ist", 1, "p"), (None, "x", 2, "q"), ("b", "the word " * 1_000_000, 3, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, score int, lang_pred string")
+    got = language_id.predict(df, net)
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    found = got.collect()
+    assert len(found) == 4 and len({tuple(r) for r in found}) == 3
+    assert language_id.predict(df.limit(0), net).count() == 0
+
+
+def test_language_sample_of_a_repeated_id_is_bounded(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, windows, y: held.append(len(y)))
+    df = spark.range(3000).selectExpr("4L as doc_id", "concat('text ', id) as text", "'en' as lang").union(spark.range(3000).selectExpr("4L", "'same'", "'de'"))
+    assert language_id.remainder(4) != 2
+    language_id.train(df, sample=50)
+    # Classes are evened to the larger, of some 50 rows.
+    assert held and held[0] < 400
+
+
 def test_network_gradient():
     net = language_id.Network(["a", "b", "c"])
     rng = np.random.default_rng(0)
