@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from functools import partial
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -25,6 +28,8 @@ from .common import slices, texts
 #: generations, none longer than so many characters. Others are
 #: encoded each time; results don't depend on it.
 CACHE_SIZE, CACHE_CHARS = 200_000, 48
+#: Pre-tokens of a long text encoded at once; bytes from which a pre-token's links lie in arrays.
+BLOCK, LONG, LOW = 1 << 16, 4096, (1 << 32) - 1
 
 
 def default_vocabulary() -> str:
@@ -102,12 +107,15 @@ class Tokenizer:
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token: least rank first, leftmost first among equals."""
         n, get = len(piece), self.ranks.get
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        numbers = list if n < LONG else partial(array, "q")
+        after = numbers(range(1, n + 1))
+        before = numbers(range(-1, n - 1))
+        # Rank, place and end in one number: a third of a tuple's memory.
+        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapify(heap)
         while heap:
-            _, i, end = heappop(heap)
+            least = heappop(heap)
+            i, end = least >> 32 & LOW, least & LOW
             j = after[i]  # n for a byte that was merged into an earlier one
             if j >= n or after[j] != end:
                 continue
@@ -116,10 +124,10 @@ class Tokenizer:
                 before[end] = i
                 stop = after[end]
                 if (r := get(piece[i:stop])) is not None:
-                    heappush(heap, (r, i, stop))
+                    heappush(heap, r << 64 | i << 32 | stop)
             p = before[i]
             if p >= 0 and (r := get(piece[p:end])) is not None:
-                heappush(heap, (r, p, end))
+                heappush(heap, r << 64 | p << 32 | end)
         ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
@@ -150,6 +158,15 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.pieces(text)))
 
+    def blocks(self, text: str, size: int = BLOCK) -> Iterator[list[int]]:
+        """The ids of a text in lists, of `size` pre-tokens each: a long text's aren't held at once."""
+        if len(text) <= size:
+            yield self.encode(text)
+            return
+        tokens = (m.group() for m in self.iterate(text))
+        while part := list(islice(tokens, size)):
+            yield list(chain.from_iterable(self.pieces_of(part)))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -190,12 +207,18 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         for b in slices(batches):
             names, counts, digests, decoded, lists = b.column("doc_id"), [], [], [], []
             for s in texts(b.column("text")):
-                got = t.encode(s)
-                counts.append(len(got))
-                digests.append(hashlib.sha256(" ".join(map(t.decimal.__getitem__, got)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(t.decode(got)).hexdigest())
+                n, own, back, held = 0, hashlib.sha256(), hashlib.sha256(), array("i")
+                for got in t.blocks(s):
+                    own.update(((" " if n else "") + " ".join(map(t.decimal.__getitem__, got))).encode())
+                    back.update(t.decode(got))
+                    n += len(got)
+                    if ids:
+                        held.extend(got)
+                counts.append(n)
+                digests.append(own.hexdigest())
+                decoded.append(back.hexdigest())
                 if ids:
-                    lists.append(pa.array(got, pa.int32()))
+                    lists.append(np.array(held, np.int32))
             more = [pa.array(lists, pa.list_(pa.int32()))] if ids else []
             yield pa.RecordBatch.from_arrays([names, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 

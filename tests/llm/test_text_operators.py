@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -54,6 +55,29 @@ def test_bpe_equals_tiktoken(tokenizer, reference, some):
         assert tokenizer.decode(ids) == t.encode()
 
 
+def test_bpe_of_a_long_word_and_of_blocks(spark, tokenizer, reference, some):
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdeinrst") for _ in range(200_000))
+    assert tokenizer.encode(word) == reference.encode_ordinary(word)
+    for t in some:
+        assert list(itertools.chain.from_iterable(tokenizer.blocks(t, 7))) == tokenizer.encode(t)
+    text = "two words, " * 60_000
+    df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    one, two = bpe.round_trip(df, ids=True).orderBy("doc_id").collect()
+    want = reference.encode_ordinary(text)
+    assert (one["ids"], one["n_tokens"], two["ids"]) == (want, len(want), [])
+    assert one["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+    assert one["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_token_counts_of_no_rows_and_clashing_names(spark, tokenizer):
+    text = "it's a word " * 100_000
+    df = spark.createDataFrame([("a", text, 7)], "doc_id string, text string, n_tokens int")
+    (row,) = token_counts.token_counts(df).collect()
+    assert (row["n_tokens"], row["edited_chars"]) == (len(tokenizer.encode(text)), len(text))
+    assert token_counts.token_counts(df.limit(0)).count() == 0
+
+
 def test_bpe_rows(spark, tokenizer):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "<|endoftext|>")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids_sha256 string")
