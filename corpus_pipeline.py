@@ -28,7 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more in five-word shingles: that of the
-    least (doc_id, text hash)."""
+    least (doc_id, text hash). SimHash fingerprints with a common Golay key propose, MinHash bands add
+    what is farther than three bits apart, the similarity itself decides."""
     return near_copies.keep_one(docs)
 
 

@@ -1,9 +1,11 @@
-"""Near copies by shingle similarity: the corpus pipeline's stage.
+"""Near copies by SimHash, Golay keys and shingle similarity: the corpus pipeline's stage.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-MinHash bands propose (BANDS keys of ROWS minima each; at a similarity of 0.8 a pair without a common
-key has a chance of 0.0004, less above), the sets themselves decide. Texts joined by common keys are
-a family; only families' texts are read again, and each family is linked where its texts meet.
+Candidates come from the operator simhash_golay: texts whose fingerprints are within three bits. At a
+similarity of 0.8 some ten bits differ, so MinHash bands add what lies farther apart (BANDS keys of
+ROWS minima each; at 0.8 a pair without a common key has a chance of 0.0004, less above). The sets
+themselves decide on all candidates. Texts joined by candidates are a family; only families' texts
+are read again, and each family is linked where its texts meet.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import components
 from ..operators.skew import share, spread_join
+from . import simhash_golay
 from .common import cut, slices, texts
 from .simhash_golay import keep_first
 
@@ -62,9 +65,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        keys = np.concatenate([band_keys(shingles(t)) for t in texts(b.column("text"))]) if b.num_rows else np.zeros(0, np.uint64)
+        own = texts(b.column("text"))
+        keys = np.concatenate([band_keys(shingles(t)) for t in own]) if own else np.zeros(0, np.uint64)
+        fp = np.array([simhash_golay.fingerprint(t) for t in own], np.uint64).view(np.int64)
         offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], ["doc_id", "text_hash", "bands"])
+        bands = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp, pa.int64()), bands], ["doc_id", "text_hash", "fp", "bands"])
 
 
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +210,7 @@ def links(members: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _proposed(prints: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges that join all texts of a common band key. A hot key's texts are tied to its least one,
+    """Edges that join all texts of a common band key, for links of more than three bits. A hot key's texts are tied to its least one,
     which is broadcast (skew.MOST keys at most); the others are sorted by key and chained."""
     keyed = reps.select(F.explode("bands").alias("key"), F.col("text_hash").alias("node"))
     every = prints.select(F.explode("bands").alias("key"), F.col("text_hash").alias("node"))
@@ -220,9 +226,10 @@ def _labelled(docs: DataFrame, text: str, id: str, block: int) -> tuple[DataFram
     the texts that are linked."""
     kind = docs.schema[id].dataType.simpleString()
     chosen = docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    prints = cut(chosen.mapInArrow(_band_batches, f"doc_id {kind}, text_hash long, bands array<long>"))
-    reps = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    families = components(_proposed(prints, reps).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    prints = cut(chosen.mapInArrow(_band_batches, f"doc_id {kind}, text_hash long, fp long, bands array<long>"))
+    reps = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    found = simhash_golay.proposed(reps.select("fp", "text_hash"), "text_hash").union(_proposed(prints, reps))
+    families = components(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     families = families.select("node", F.col("label").alias("family"))
     families = families.union(families.select(F.col("family").alias("node"), "family")).distinct()
     salts = families.groupBy("family").agg(F.least(F.ceil(F.count("*") / FAMILY), F.lit(SPREAD)).cast("int").alias("salts"))

@@ -244,6 +244,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id: str
     return chosen.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
+def proposed(prints: DataFrame, node: str) -> DataFrame:
+    """Edges (a, b) that join all nodes whose fingerprints are connected by links. prints: (fp, node),
+    a row for each node; nodes of one fingerprint are tied to its least."""
+    least = prints.groupBy("fp").agg(F.min(node).alias("least"))
+    edges = links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("a", "b"))
+    apart = edges.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = spread_join(prints.select("fp", node), least, "fp", node).where(F.col("least") != F.col(node))
+    return apart.union(same.select(F.col("least").alias("a"), F.col(node).alias("b")))
+
+
 def _labelled(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fp, rep, label) of every fingerprint, its least doc_id and its component; and (node, label)
     of those that are linked."""

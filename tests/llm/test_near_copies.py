@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkloom.llm import near_copies, simhash_golay
@@ -106,3 +107,18 @@ def test_sets_are_packed_and_unpacked():
     sets = [np.array([1, 2], np.uint64), np.array([7], np.uint64)]
     nodes, got = near_copies._unpacked(near_copies._packed([-5, 9], sets))
     assert nodes == [-5, 9] and [s.tolist() for s in got] == [[1, 2], [7]]
+
+
+def test_golay_keys_propose_candidates(spark, monkeypatch):
+    """Without a band key in common, texts within three bits are found by fingerprints; similarity decides."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    close = {r["doc_id"]: r["component_id"] for r in simhash_golay.near_duplicates(df).collect()}
+    want = brute(rows)
+    monkeypatch.setattr(near_copies, "_proposed", lambda prints, reps: reps.select(F.col("text_hash").alias("a"), F.col("text_hash").alias("b")))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()}
+    by = {}
+    for d, c in close.items():
+        by.setdefault(c, []).append(rows[[i for i, _ in rows].index(d)])
+    assert got == {d: c for group in by.values() for d, c in brute(group).items()}
+    assert len(set(want.values())) < len(set(got.values())) < len({(t or "").upper() for _, t in rows})
