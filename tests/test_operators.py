@@ -1,6 +1,7 @@
 """Record-linkage operators on small fixtures."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -69,6 +70,12 @@ def test_pairs_are_made_where_a_records_lists_are(spark):
     assert plan.count("hashpartitioning(s1_id") == 1, plan  # the lists; pairs are dealt neither by target nor for the rank
 
 
+def test_singleton_stats_deals_out_no_pairs(spark, sf):
+    plan = queries.singleton_stats(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(s1_id#\d+, tid#", plan)
+    assert len(dealt) == 1, plan  # links of ids in several classes; candidates aren't
+
+
 def test_pairs_that_no_policy_keeps_are_not_ranked(spark, sf):
     s1, targets = matching.sides(entities(spark, sf))
     whole, worth = matching.ruled(s1, targets), matching.ruled(s1, targets, least=policies.LEAST)
