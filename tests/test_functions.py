@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity, text
+from linkloom.sources.tables import entity_view
 
 
 def column(spark, values, f):
@@ -69,6 +70,26 @@ def test_prefix_keys(spark, root, keys):
     assert sorted(column(spark, [root], text.prefix_keys)[0]) == sorted(keys)
 
 
+def test_what_is_used_often_is_worked_out_once():
+    assert str(text.prefix_keys(F.col("v"))).count("split(") == 1
+    assert str(text.trigrams(F.col("v"))).count("regexp_replace(") == 1
+
+
+def test_cleaning_of_ascii_and_others_is_the_same(spark):
+    values = [*NAMES, "A_b-C\td\x0b9", "a\x1cb\x00c", " \u00a0x\u2003y ", "x\u0301 Y", "...", "İ I"]
+    assert column(spark, values, text.clean) == column(spark, values, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(text.fold(text.states(F.coalesce(c, F.lit(""))))), r"(?U)[^\w\s]", " "), r"(?U)\s+", " ")))
+
+
+def test_first_words_of_any_text(spark):
+    many = " ".join(f"w{i}" for i in range(40))
+    texts = [None, "", " ", "a", many, " " + many, "\n" * 500 + many, "x" * 500 + " " + many, "a" + " " * 450 + many, " ".join(["y" * 30] * 30), "é" * 390 + " b  c", " ".join("abcdefghijklmnopqr"), " ".join("abcdefghijklmnopqrs") + " " * 400 + "end"]
+    rows = [(i, t, "en", "src3", len(t or "")) for i, t in enumerate(texts)]
+    got = entity_view(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).orderBy("seq").collect()
+    for r, (_, t, *_, n) in zip(got, rows, strict=True):
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", t or "")
+        assert (r["business_name"], r["business_address"]) == (" ".join(words[:6]), f"{n} {' '.join(words[6:18])} {n:05}"), t
+
+
 def test_flags(spark):
     assert column(spark, ["abc 1", "é", "", None, "अ"], text.has_other_letters) == [False, True, False, False, True]
     assert column(spark, ["abc é", "அ", None], text.has_indic) == [False, True, False]
